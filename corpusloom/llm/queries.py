@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, media, packing, urlfilter
+from . import bpe, langid, media, packing, quality, simhash, toxicity, urlfilter
+from .common import fold
 
 #: Vocabulary file of the public byte-level tokenizer, installed on every machine.
 VOCABULARY = "byte_bpe_50k.json"
@@ -19,6 +21,37 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+#: Thresholds of the two classifiers.
+TOXIC, GOOD = 0.5, 0.3
+
+
+def _held_out(folds: int, held: int):
+    return fold(F.col("doc_id"), folds) == held
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~_held_out(5, 0))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"), "worst_sentence", "worst_score", "n_sentences")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~_held_out(5, 0))
+    return quality.score(docs, model).select("doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, ~_held_out(4, 2))
+    return langid.predict(docs, model).select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -38,6 +71,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
+        "op2_quality": op2_quality,
+        "op3_simhash": op3_simhash,
+        "op4_language": op4_language,
         "op5_packing": op5_packing,
         "op8_bpe": op8_bpe,
         "op9_media": op9_media,
