@@ -17,26 +17,21 @@ from corpusloom.llm import packing, quality, queries, simhash, toxicity
 from corpusloom.session import shared_folder, table
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id isn't among ``ids``; null ids stay."""
-    return docs.join(ids.distinct(), "doc_id", "left_anti").select(*docs.columns)
-
-
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents whose noisy-or of sentence scores reaches the threshold."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    return _without(docs, toxicity.rejected(toxicity.score(docs, model), queries.TOXIC))
+    return toxicity.keep_clean(docs, model, queries.TOXIC)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the quality classifier scores below the threshold."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    return _without(docs, quality.rejected(quality.score(docs, model), queries.GOOD))
+    return quality.keep_good(docs, model, queries.GOOD)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the least id of each component of near-duplicates."""
-    return _without(docs, simhash.duplicates(docs))
+    return docs.join(simhash.duplicates(docs), "doc_id", "left_anti").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

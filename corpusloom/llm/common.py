@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,6 +103,23 @@ def char_ngrams(words: list[str], low: int, high: int, buckets: int, whole: bool
     return indptr, (h[order] % np.uint64(buckets)).astype(np.int64)
 
 
+def keep_rows(docs: DataFrame, make_mask) -> DataFrame:
+    """Rows of ``docs``, all columns, where a mask over their texts is true.
+
+    ``make_mask()`` is called once a task and gives a function from a list of texts
+    (null ones empty) to a boolean array. Narrow: no join and no shuffle.
+    """
+    small_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        mask = make_mask()
+        for batch in batches:
+            yield batch.filter(pa.array(mask([t or "" for t in batch.column(at).to_pylist()]), type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 class WordTable:
     """Words seen so far and a row of numbers for each, computed once a word.
 

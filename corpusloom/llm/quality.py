@@ -17,9 +17,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
-from .common import WordTable, char_ngrams, labelled_sample, small_batches
+from .common import WordTable, char_ngrams, keep_rows, labelled_sample, small_batches
 
 BUCKETS, DIMENSION = 1 << 16, 12
 LOW, HIGH = 2, 4
@@ -124,17 +123,32 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        memo = WordTable(model.token_rows, 3)
+        rate = scorer(shared.value)
         for batch in batches:
-            docs = [tokens_of(t or "") for t in batch.column(1).to_pylist()]
-            memo.learn(docs)
-            scores = [model.probability(memo.rows[memo.of(d)]) for d in docs]
+            scores = rate([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, type=pa.float64())], ["doc_id", "score"])
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, "doc_id long, score double")
 
 
-def rejected(scored: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """Ids of the documents below the quality threshold."""
-    return scored.where(F.col("score") < threshold).select("doc_id")
+def scorer(model: QualityModel):
+    """A function from texts to their scores, with the tokens seen so far scored once."""
+    memo = WordTable(model.token_rows, 3)
+
+    def rate(texts: list[str]) -> list[float]:
+        docs = [tokens_of(t) for t in texts]
+        memo.learn(docs)
+        return [model.probability(memo.rows[memo.of(d)]) for d in docs]
+
+    return rate
+
+
+def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
+    """Rows that score ``threshold`` or more, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make_mask():
+        rate = scorer(shared.value)
+        return lambda texts: [s >= threshold for s in rate(texts)]
+
+    return keep_rows(docs, make_mask)

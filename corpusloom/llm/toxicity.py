@@ -16,9 +16,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
-from .common import WordTable, char_ngrams, labelled_sample, small_batches
+from .common import WordTable, char_ngrams, keep_rows, labelled_sample, small_batches
 
 #: Words, and what ends a sentence.
 TOKENS = re.compile(r"\w+|[.!?\n]+")
@@ -58,6 +57,26 @@ def sentences(tokens: list[str]) -> np.ndarray:
     return np.cumsum(ends) - ends
 
 
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return np.exp(-np.logaddexp(0.0, -z))
+
+
+class Judge:
+    """Sentence logits of texts, with the words seen so far scored once."""
+
+    def __init__(self, model: ToxicityModel):
+        self.bias, self.memo = model.bias, WordTable(model.word_scores, 1)
+
+    def logits(self, texts: list[str]) -> Iterator[np.ndarray]:
+        tokens = bags(texts)
+        self.memo.learn(tokens)
+        for words in tokens:
+            if words:
+                yield self.bias + np.bincount(sentences(words), weights=self.memo.rows[self.memo.of(words), 0])
+            else:
+                yield np.array([self.bias])
+
+
 def noisy_or(logits: np.ndarray) -> float:
     """1 - prod(1 - p) of sentence logits; 0 for no sentence."""
     return float(-np.expm1(-np.logaddexp(0.0, logits).sum()))
@@ -101,7 +120,7 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray) -> ToxicityModel:
     for step in range(1, ROUNDS + 1):
         score = np.bincount(owners, weights=theta[index], minlength=len(words))
         z = bias + np.bincount(owner, weights=score[word], minlength=at)
-        p = np.exp(-np.logaddexp(0.0, -z))
+        p = sigmoid(z)
         log_q = -np.bincount(doc, weights=np.logaddexp(0.0, z), minlength=len(docs))  # log prod(1 - p)
         q = np.exp(log_q)
         pull = np.where(y > 0, -q / np.maximum(-np.expm1(log_q), 1e-9), 1.0) * weight
@@ -136,21 +155,13 @@ def score(docs: DataFrame, model: ToxicityModel, spans: bool = False, offends: f
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        memo = WordTable(model.word_scores, 1)
+        judge = Judge(shared.value)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            tokens = bags(texts)
-            memo.learn(tokens)
             rows = []
-            for doc_id, text, words in zip(batch.column(0).to_pylist(), texts, tokens):
-                if words:
-                    which = sentences(words)
-                    z = model.bias + np.bincount(which, weights=memo.rows[memo.of(words), 0])
-                else:
-                    z = np.array([model.bias])
+            for doc_id, text, z in zip(batch.column(0).to_pylist(), texts, judge.logits(texts)):
                 worst = int(z.argmax())
-                row = (doc_id, noisy_or(z), worst, float(1 / (1 + np.exp(-z[worst]))), len(z))
+                row = (doc_id, noisy_or(z), worst, float(sigmoid(z[worst])), len(z))
                 rows.append((*row, locate(text, z, offends)) if spans else row)
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names)
 
@@ -164,7 +175,7 @@ def score(docs: DataFrame, model: ToxicityModel, spans: bool = False, offends: f
 
 def locate(text: str, logits: np.ndarray, offends: float) -> list[dict]:
     """Spans of the sentences whose probability reaches ``offends``."""
-    p = 1 / (1 + np.exp(-logits))
+    p = sigmoid(logits)
     if p.max(initial=0.0) < offends:
         return []
     first, last, k, out = None, 0, 0, []
@@ -180,6 +191,12 @@ def locate(text: str, logits: np.ndarray, offends: float) -> list[dict]:
     return out
 
 
-def rejected(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Ids of the documents that are toxic."""
-    return scored.where(F.col("score") >= threshold).select("doc_id")
+def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
+    """Rows whose score is below ``threshold``, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make_mask():
+        judge = Judge(shared.value)
+        return lambda texts: [noisy_or(z) < threshold for z in judge.logits(texts)]
+
+    return keep_rows(docs, make_mask)
