@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, langid, media, packing, quality, simhash, toxicity, urlfilter
+from . import ann, bpe, html_extract, langid, media, packing, quality, simhash, toxicity, urlfilter
 from .common import fold
 
 #: Vocabulary file of the public byte-level tokenizer, installed on every machine.
@@ -56,6 +56,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -76,6 +84,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": op3_simhash,
         "op4_language": op4_language,
         "op5_packing": op5_packing,
+        "op6_html": op6_html,
+        "op7_nearest": op7_nearest,
         "op8_bpe": op8_bpe,
         "op9_media": op9_media,
         "op10_url_filter": op10_url_filter,
