@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 #: Projections, share of them that must collide, confidence in standard deviations, window growth.
-PROJECTIONS, SHARE, CONFIDENCE, GROWTH, SEED = 64, 0.5, 3.0, 1.25, 5
+PROJECTIONS, SHARE, CONFIDENCE, GROWTH, SEED = 32, 0.5, 2.5, 1.4, 5
+#: First half-width, as a share of the projections' deviation.
+OPENING = 0.35
 #: Vectors of a block: at most about the first; small tables are dealt to a few blocks for parallelism.
 BLOCK, LEAST_BLOCK = 65_536, 4096
 
@@ -59,36 +61,57 @@ class BlockIndex:
         rng = np.random.default_rng((SEED, vectors.shape[1]))
         self.axes = rng.standard_normal((vectors.shape[1], projections))
         along = vectors @ self.axes
-        self.order = np.ascontiguousarray(np.argsort(along, axis=0, kind="stable").T.astype(np.int32))
-        self.sorted = np.ascontiguousarray(np.sort(along, axis=0).T)
+        self.order = np.argsort(along, axis=0, kind="stable").T.astype(np.int32).ravel()
         self.scale = float(np.median(along.std(axis=0))) or 1.0
+        # All sorted arrays behind each other, each moved up by more than any window, so one search serves all.
+        self.gap = 4.0 * float(np.abs(along).max()) + 1.0
+        self.moved = np.arange(projections) * self.gap
+        self.sorted = (np.sort(along, axis=0) + self.moved).T.ravel()
+        self.norms = (vectors * vectors).sum(axis=1)
+
+    def windows(self, at: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+        """First and last place, within all sorted arrays, of a window in each."""
+        n, half = len(self.ids), min(half, self.gap / 2)
+        base = np.arange(len(at)) * n
+        low = np.clip(np.searchsorted(self.sorted, at - half) - base, 0, n) + base
+        high = np.clip(np.searchsorted(self.sorted, at + half, side="right") - base, 0, n) + base
+        return low, high
+
+    def verified(self, rows: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Exact distances and ids of the k nearest of ``rows`` and those as near but for rounding."""
+        rough = self.norms[rows] + query @ query - 2.0 * (self.vectors[rows] @ query)
+        if len(rows) > k:
+            edge = np.partition(rough, k - 1)[k - 1]
+            rows = rows[rough <= edge + 1e-9 * (abs(edge) + self.norms[rows].max() + query @ query)]
+        return np.sqrt(((self.vectors[rows] - query) ** 2).sum(axis=1)), self.ids[rows]
 
     def search(self, own: int, query: np.ndarray, k: int, reach: float, needed: int) -> list[tuple[float, int]]:
         """(distance, id) of the k nearest found, ties to smaller ids, ``own`` left out."""
-        n, m = len(self.ids), len(self.sorted)
+        n = len(self.ids)
         at = query @ self.axes
-        low = np.array([np.searchsorted(row, a) for row, a in zip(self.sorted, at)])
-        high, hits = low.copy(), np.zeros(n, dtype=np.int32)
-        pending = self.ids != own
+        limit = np.abs(at).max() + self.gap / 4  # a window of this covers every array
+        at = np.clip(at, -self.gap / 4, self.gap / 4) + self.moved
+        hits, pending = np.zeros(n, dtype=np.int64), self.ids != own
         found_d, found_i = np.zeros(0), np.zeros(0, dtype=np.int64)
-        half = 0.15 * self.scale
+        half, low, high = OPENING * self.scale, None, None
         while True:
-            wider_low = np.array([np.searchsorted(row, a - half) for row, a in zip(self.sorted, at)])
-            wider_high = np.array([np.searchsorted(row, a + half, side="right") for row, a in zip(self.sorted, at)])
-            parts = [self.order[j, a:b] for j in range(m) for a, b in ((wider_low[j], low[j]), (high[j], wider_high[j])) if b > a]
-            low, high = np.minimum(low, wider_low), np.maximum(high, wider_high)
+            wider_low, wider_high = self.windows(at, half if half < limit else np.inf)
+            low, high = (wider_low, wider_low) if low is None else (low, high)
+            parts = [self.order[a:b] for a, b in zip((*wider_low, *high), (*low, *wider_high)) if b > a]
+            low, high = wider_low, wider_high
             if parts:
-                hits += np.bincount(np.concatenate(parts), minlength=n).astype(np.int32)
+                hits += np.bincount(np.concatenate(parts), minlength=n)
             ready = np.flatnonzero(pending & (hits >= needed))
             if len(ready):
                 pending[ready] = False
-                d = np.sqrt(((self.vectors[ready] - query) ** 2).sum(axis=1))
-                found_d, found_i = np.concatenate([found_d, d]), np.concatenate([found_i, self.ids[ready]])
+                d, i = self.verified(ready, query, k)
+                found_d, found_i = np.concatenate([found_d, d]), np.concatenate([found_i, i])
                 best = np.lexsort((found_i, found_d))[:k]
                 found_d, found_i = found_d[best], found_i[best]
-            if len(found_d) >= k and half >= reach * found_d[k - 1] or not pending.any():
+            enough = reach * found_d[k - 1] if len(found_d) >= k else np.inf
+            if half >= min(enough, limit):
                 return list(zip(found_d.tolist(), found_i.tolist()))
-            half = max(half * GROWTH, self.scale * 1e-6) if half < 1e6 * self.scale else np.inf
+            half = min(half * GROWTH, max(enough, half * 1.001), limit)
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
