@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Runs of anything but white space (with the separators 1C to 1F).
 WORD = r"[^\p{IsWhite_Space}\x1c-\x1f]+"
@@ -36,6 +39,15 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once a row, however often it is used.
+
+    A lambda variable binds it; a plain column would be evaluated again at every
+    use, and again for every element within a higher-order function.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def words(text: Column | str) -> Column:
     """The words of a text, none for null."""
     return F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(WORD), F.lit(0))
@@ -68,8 +80,12 @@ def hash_fraction(sha: Column | str) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Space-joined runs of n words; none for shorter texts."""
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.concat_ws(" ", F.slice(tokens, i, n)))
+
+    def of(w: Column) -> Column:
+        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.concat_ws(" ", F.slice(w, i, n)))
+
+    return let(tokens, of)
 
 
 def occurrences(text: Column, piece: Column) -> Column:
@@ -90,7 +106,7 @@ def top_run(values: Column) -> Column:
     return F.aggregate(F.sort_array(values), start, step, lambda acc: acc["best"])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def top_byte_share(text: pd.Series) -> pd.Series:
     """Share of the most frequent byte in the first 64 KiB; 0 without bytes."""
     out = []

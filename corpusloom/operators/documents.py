@@ -64,8 +64,7 @@ def is_code(text: Column, source: Column, strict: bool = False) -> Column:
 
 def trigram_share(words: Column) -> Column:
     """Share of the most frequent word trigram; null below three words. Row-local, no shuffle."""
-    grams = X.ngrams(words, 3)
-    return F.when(F.size(words) >= 3, X.top_run(grams) / F.size(grams))
+    return X.let(X.ngrams(words, 3), lambda grams: F.when(F.size(grams) > 0, X.top_run(grams) / F.size(grams)))
 
 
 def quality_flags(docs: DataFrame, pruning: bool = True, strict_code: bool = False) -> DataFrame:
@@ -108,14 +107,16 @@ def skip_reason() -> Column:
 
 
 def dispositions(flagged: DataFrame) -> DataFrame:
-    """Add disposition: skip, duplicate (a later equal text) or unique.
+    """Disposition of every flagged document: skip, duplicate (a later equal text) or unique.
 
     Only documents that aren't skipped compete; the least doc_id of a hash wins.
-    The least id per hash is a partial aggregate, so a hot hash doesn't skew.
+    Texts are dropped and the rest is written once, so flags are computed once;
+    the least id per hash is a partial aggregate, so a hot hash doesn't skew.
     """
-    marked = flagged.withColumns({"reason": skip_reason(), "content_sha256": X.content_hash("text")})
-    first = marked.where("reason is null").groupBy("content_sha256").agg(F.min("doc_id").alias("_first"))
-    joined = marked.join(first, "content_sha256", "left")
+    marked = flagged.withColumns({"reason": skip_reason(), "content_sha256": X.content_hash("text")}).drop("text")
+    marked = shared_checkpoint(marked)
+    first = marked.groupBy("content_sha256").agg(F.min(F.when(F.col("reason").isNull(), F.col("doc_id"))).alias("_first"))
+    joined = marked.join(first, marked["content_sha256"].eqNullSafe(first["content_sha256"]), "left").drop(first["content_sha256"])
     return joined.withColumn(
         "disposition", F.when(F.col("reason").isNotNull(), "skip").when(F.col("doc_id") > F.col("_first"), "duplicate").otherwise("unique")
     ).drop("_first")

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 
@@ -129,12 +130,12 @@ def unpack21(data: bytes, count: int) -> np.ndarray:
     return (bits.reshape(count, 21) << np.arange(21)).sum(axis=1)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def packed21(ids: pd.Series) -> pd.Series:
     return pd.Series([pack21(np.asarray(x)) for x in ids])
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def unpacks_to(data: pd.Series, ids: pd.Series) -> pd.Series:
     return pd.Series([bool(np.array_equal(unpack21(d, len(x)), np.asarray(x))) for d, x in zip(data, ids)])
 

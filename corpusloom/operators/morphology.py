@@ -42,7 +42,7 @@ def affix_candidates(words: DataFrame, affixes: DataFrame) -> DataFrame:
 def verb_lexicon(spark: SparkSession, roots=VERB_ROOTS, endings=VERB_ENDINGS) -> DataFrame:
     """Every root with every ending, lower-cased and distinct."""
     both = spark.createDataFrame([(r, list(endings)) for r in roots], "root string, endings array<string>")
-    return both.select(F.lower(F.concat("root", F.explode("endings"))).alias("word")).distinct()
+    return both.select("root", F.explode("endings").alias("ending")).select(F.lower(F.concat("root", "ending")).alias("word")).distinct()
 
 
 def spaced(words: DataFrame) -> DataFrame:

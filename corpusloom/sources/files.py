@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..operators.documents import chat_text, extract_text, labels_of
@@ -28,7 +29,7 @@ def extension(name: Column) -> Column:
     return F.regexp_extract(F.lower(name), r"(\.jsonl\.gz|\.txt\.gz|\.[^./]+)$", 1)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def looks_binary(head: pd.Series) -> pd.Series:
     """Too many NUL or control bytes in the first 64 KiB."""
     out = []

@@ -25,8 +25,8 @@ def ingest(stream: DataFrame, accepted: str, checkpoint: str, val_ratio: float =
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
-        flagged = D.dispositions(D.quality_flags(rows)).where("disposition = 'unique'")
-        new = D.assign_split(flagged, val_ratio).select("doc_id", "text", "lang", "source", "raw_bytes", "content_sha256", "split").withColumn("batch", F.lit(number))
+        unique = D.dispositions(D.quality_flags(rows)).where("disposition = 'unique'").drop("lang", "source", "raw_bytes")
+        new = D.assign_split(unique.join(rows.select("doc_id", "text", "lang", "source", "raw_bytes"), "doc_id"), val_ratio).select("doc_id", "text", "lang", "source", "raw_bytes", "content_sha256", "split").withColumn("batch", F.lit(number))
         try:
             seen = spark.read.parquet(accepted).select("content_sha256")
         except Exception as e:  # the first batch finds no table
