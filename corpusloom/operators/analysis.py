@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import number_rows
+
 #: Weights of the composite score.
 PARETO_WEIGHTS = {
     "macro_bpt": 0.20,
@@ -90,24 +92,8 @@ def band(rank: Column, bands: tuple[tuple[str, int], ...], last: str) -> Column:
 
 
 def frequency_ranks(counts: DataFrame) -> DataFrame:
-    """Add ``rank`` from 0: by falling count, then token.
-
-    Ranks come in two levels: counts are summed into a histogram of distinct
-    counts, whose running sum gives the first rank of each; tokens of one count
-    are numbered among themselves, in salts if there are many.
-    """
-    by_count = counts.groupBy("count").agg(F.count("*").alias("_n"))
-    before = Window.orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = by_count.select("count", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # one row a distinct count
-    lead = F.substring("token", 1, 2)
-    salted = counts.withColumn("_lead", lead)
-    salts = salted.groupBy("count", "_lead").agg(F.count("*").alias("_m"))
-    upto = Window.partitionBy("count").orderBy("_lead").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = salts.select("count", "_lead", F.coalesce(F.sum("_m").over(upto), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy("count", "_lead").orderBy("token")
-    ranked = salted.withColumn("_r", F.row_number().over(within) - 1)
-    found = ranked.join(offsets, ["count", "_lead"]).join(starts, "count")
-    return found.select("token", "count", (F.col("_start") + F.col("_offset") + F.col("_r")).cast("long").alias("rank"))
+    """Add ``rank`` from 0: by falling count, then token."""
+    return number_rows(counts.select("token", "count"), "rank", F.desc("count"), F.asc("token"))
 
 
 def entropy_table(counts: DataFrame, vocab_size: int) -> DataFrame:

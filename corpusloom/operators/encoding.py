@@ -99,7 +99,7 @@ def encode(docs: DataFrame, vocabulary: DataFrame, mode: str = "bounded", eos: b
             else:
                 yield pd.Series([[i for p in pieces for i in chunk(p)] for pieces in batch])
 
-    found = F.pandas_udf(run, "array<int>", F.PandasUDFType.SCALAR_ITER)(F.col("text") if whole else X.pretokens("text"))
+    found = F.pandas_udf(run, "array<int>")(F.col("text") if whole else X.pretokens("text"))
     return docs.withColumn("ids", F.concat(found, F.array(F.lit(SPECIAL["<|eos|>"]))) if eos else found)
 
 
@@ -112,7 +112,7 @@ def decode(ids: Column, vocabulary: DataFrame) -> Column:
         for batch in batches:
             yield pd.Series([encoder.decode(x).decode("utf-8", "replace") for x in batch])
 
-    return F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER)(ids)
+    return F.pandas_udf(run, "string")(ids)
 
 
 def pack21(ids: np.ndarray) -> bytes:

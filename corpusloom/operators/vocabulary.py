@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scripts as S
 from ..functions import text as X
+from .ranking import number_rows
 
 FIRST_ID, BYTE_TOKENS, TEMPERATURE = 265, 256, 2.5
 
@@ -29,8 +30,8 @@ def ngram_counts(docs: DataFrame, n: int, least: int, low: int = 4, high: int =
 def append_to_vocabulary(candidates: DataFrame, vocabulary: DataFrame, first_id: int) -> DataFrame:
     """Candidates that the vocabulary lacks, numbered by falling frequency and length."""
     new = candidates.join(vocabulary.select(F.col("token").alias("phrase")), "phrase", "left_anti")
-    order = Window.orderBy(F.desc("freq"), F.desc(F.length("phrase")), "phrase")
-    return new.withColumn("token_id", F.row_number().over(order) - 1 + F.lit(first_id))
+    numbered = number_rows(new, "token_id", F.desc("freq"), F.desc(F.length("phrase")), F.asc("phrase"))
+    return numbered.withColumn("token_id", F.col("token_id") + first_id)
 
 
 def mined_candidates(docs: DataFrame, longest: int = 16, affix: int = 5) -> DataFrame:
@@ -171,8 +172,8 @@ def pruned(vocabulary: DataFrame, least: int, drop: tuple[str, ...] = ("cjk_stri
     keep = ~(phrase & (F.col("freq") < least))
     for kind in drop:
         keep = keep & ~S.has_any(F.col("token"), kind)
-    order = Window.orderBy(F.desc("freq"), "token")
-    return vocabulary.where(keep).select("token", "freq", (F.row_number().over(order) - 1 + F.lit(first_id)).alias("token_id"))
+    numbered = number_rows(vocabulary.where(keep).select("token", "freq"), "token_id", F.desc("freq"), F.asc("token"))
+    return numbered.withColumn("token_id", F.col("token_id") + first_id)
 
 
 def budgeted(vocabulary: DataFrame, budgets: dict[str, int], slots: int) -> DataFrame:
