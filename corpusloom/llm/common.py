@@ -64,14 +64,22 @@ def labelled_sample(
     return [r["text"] for r in rows], y, w
 
 
-def char_ngrams(words: list[str], low: int, high: int, buckets: int, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def char_ngrams(words: list[str], low: int, high: int, buckets: int, whole: bool = True, piece: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """Hashed character n-grams of each word as compressed rows (indptr, indices).
 
     Every word is fenced as ``<word>``; n-grams of ``low`` to ``high`` code points
     are hashed into ``buckets``, and with ``whole`` the fenced word itself too.
+    Words are taken ``piece`` at a time, which bounds the memory in between.
     """
-    if not words:
-        return np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    counts, index = [np.zeros(1, dtype=np.int64)], []
+    for k in range(0, len(words), piece):
+        n, found = _char_ngrams(words[k : k + piece], low, high, buckets, whole)
+        counts.append(n)
+        index.append(found)
+    return np.cumsum(np.concatenate(counts)), np.concatenate(index) if index else np.zeros(0, dtype=np.int32)
+
+
+def _char_ngrams(words: list[str], low: int, high: int, buckets: int, whole: bool) -> tuple[np.ndarray, np.ndarray]:
     joined = "".join([f"<{w}>" for w in words])
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     lens = np.fromiter((len(w) + 2 for w in words), dtype=np.int64, count=len(words))
@@ -99,8 +107,7 @@ def char_ngrams(words: list[str], low: int, high: int, buckets: int, whole: bool
         h = (h ^ (h >> np.uint64(33))) * HASH_MIX
         h ^= h >> np.uint64(29)
     order = np.argsort(owner, kind="stable")
-    indptr = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))])
-    return indptr, (h[order] % np.uint64(buckets)).astype(np.int64)
+    return np.bincount(owner, minlength=len(words)), (h[order] % np.uint64(buckets)).astype(np.int32)
 
 
 def keep_rows(docs: DataFrame, make_mask) -> DataFrame:

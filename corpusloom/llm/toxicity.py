@@ -25,10 +25,11 @@ ENDERS = frozenset(".!?\n")
 BUCKETS = 1 << 18
 LOW, HIGH = 3, 5
 #: The training sample: labelled documents, and characters of each.
-MAX_ROWS, MAX_CHARS = 6000, 100_000
+MAX_ROWS, MAX_CHARS = 3000, 100_000
 #: A feature needs this many documents of the sample; L1 keeps few of the rest.
 LEAST_DOCUMENTS = 3
-ROUNDS, RATE, L1, START = 80, 0.15, 2e-4, -5.0
+#: The L1 penalty weighs as much as this part of one document.
+ROUNDS, RATE, PENALTY, START = 80, 0.15, 0.6, -5.0
 
 
 @dataclass
@@ -91,32 +92,37 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray) -> ToxicityModel:
     theta, bias = np.zeros(BUCKETS, dtype=np.float64), START
     if len(set(y.tolist())) < 2:
         return ToxicityModel(theta.astype(np.float32), bias)
-    docs = bags(texts)
-    words = sorted({w for d in docs for w in d if w[0] not in ENDERS})
-    number = {w: k for k, w in enumerate(words)}
+    number: dict[str, int] = {}
+    docs = []  # numbers of the words of each text, -1 for an ender
+    for text in texts:
+        tokens = TOKENS.findall(text.lower())
+        docs.append(np.fromiter((-1 if t[0] in ENDERS else number.setdefault(t, len(number)) for t in tokens), dtype=np.int32, count=len(tokens)))
+    words = list(number)
     indptr, index = char_ngrams(words, LOW, HIGH, BUCKETS)
-    owners = np.repeat(np.arange(len(words)), np.diff(indptr))
-    spread = np.zeros(BUCKETS)  # documents that hold each feature
-    for tokens in docs:
-        held = np.fromiter({number[t] for t in tokens if t[0] not in ENDERS}, dtype=np.int64)
+    owners = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(indptr))
+    spread = np.zeros(BUCKETS, dtype=np.int32)  # documents that hold each feature
+    token_word, token_sentence, sentence_doc, at = [], [], [], 0
+    for k, numbers in enumerate(docs):
+        held = np.unique(numbers[numbers >= 0])
         sizes = indptr[held + 1] - indptr[held]
         spans = np.repeat(indptr[held] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
         spread[np.unique(index[spans])] += 1
-    common = spread[index] >= LEAST_DOCUMENTS
-    owners, (used, index) = owners[common], np.unique(index[common], return_inverse=True)
-    token_word, token_sentence, sentence_doc, at = [], [], [], 0
-    for k, tokens in enumerate(docs):
-        numbers = sentences(tokens)
-        count = int(numbers[-1]) + 1 if len(numbers) else 1
-        keep = np.fromiter((t[0] not in ENDERS for t in tokens), dtype=bool, count=len(tokens))
-        token_word.append(np.fromiter((number[t] for t in tokens if t[0] not in ENDERS), dtype=np.int64, count=int(keep.sum())))
-        token_sentence.append(numbers[keep] + at)
-        sentence_doc.append(np.full(count, k))
+        ends = (numbers < 0).astype(np.int32)
+        which = np.cumsum(ends) - ends
+        count = int(which[-1]) + 1 if len(which) else 1
+        token_word.append(numbers[numbers >= 0])
+        token_sentence.append((which[numbers >= 0] + at).astype(np.int32))
+        sentence_doc.append(np.full(count, k, dtype=np.int32))
         at += count
     word, owner, doc = np.concatenate(token_word), np.concatenate(token_sentence), np.concatenate(sentence_doc)
+    used = np.flatnonzero(spread >= LEAST_DOCUMENTS)  # only these are trained
+    place = np.full(BUCKETS, -1, dtype=np.int32)
+    place[used] = np.arange(len(used))
+    index = place[index]
+    owners, index = owners[index >= 0], index[index >= 0]
     theta = np.zeros(len(used))
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
-    weight = weight / weight.sum()
+    weight, penalty = weight / weight.sum(), PENALTY / len(docs)
     for step in range(1, ROUNDS + 1):
         score = np.bincount(owners, weights=theta[index], minlength=len(words))
         z = bias + np.bincount(owner, weights=score[word], minlength=at)
@@ -131,7 +137,7 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray) -> ToxicityModel:
         v = 0.999 * v + 0.001 * grad * grad
         rate = RATE / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
         moved = np.append(theta, bias) - rate * m / (1 - 0.9**step)
-        theta, bias = np.sign(moved[:-1]) * np.maximum(np.abs(moved[:-1]) - rate[:-1] * L1, 0.0), moved[-1]
+        theta, bias = np.sign(moved[:-1]) * np.maximum(np.abs(moved[:-1]) - rate[:-1] * penalty, 0.0), moved[-1]
     full = np.zeros(BUCKETS, dtype=np.float32)
     full[used] = theta
     return ToxicityModel(full, float(bias))
