@@ -23,13 +23,13 @@ from .common import WordTable, char_ngrams, keep_rows, labelled_sample, small_ba
 TOKENS = re.compile(r"\w+|[.!?\n]+")
 ENDERS = frozenset(".!?\n")
 BUCKETS = 1 << 18
-LOW, HIGH = 3, 5
+LOW, HIGH = 4, 7
 #: The training sample: labelled documents, and characters of each.
 MAX_ROWS, MAX_CHARS = 3000, 100_000
 #: A feature needs this many documents of the sample; L1 keeps few of the rest.
 LEAST_DOCUMENTS = 3
 #: The L1 penalty weighs as much as this part of one document.
-ROUNDS, RATE, PENALTY, START = 80, 0.15, 0.6, -5.0
+ROUNDS, RATE, PENALTY, START = 80, 0.15, 0.3, -5.0
 
 
 @dataclass
