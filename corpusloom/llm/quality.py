@@ -22,7 +22,7 @@ from .common import WordTable, char_ngrams, keep_rows, labelled_sample, small_ba
 
 BUCKETS, DIMENSION = 1 << 16, 12
 LOW, HIGH = 2, 4
-MAX_ROWS, MAX_CHARS = 6000, 100_000
+MAX_ROWS, MAX_CHARS = 3000, 100_000
 EPOCHS, RATE, SEED = 4, 0.5, 7
 #: Longer tokens are cut up for their n-grams, so that one token can't fill memory.
 TOKEN_CHARS = 64
@@ -74,18 +74,20 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray) -> QualityModel:
     if len(set(y.tolist())) < 2:
         return QualityModel(vectors, output, bias)
     vectors[:] = rng.uniform(-1, 1, vectors.shape) / DIMENSION
-    docs = [tokens_of(t) for t in texts]
-    words = sorted(set().union(*docs))
-    number = {w: k for k, w in enumerate(words)}
-    indptr, index = char_ngrams(words, LOW, HIGH, BUCKETS)
+    number: dict[str, int] = {}
+    docs = []
+    for text in texts:
+        tokens = tokens_of(text)
+        docs.append(np.fromiter((number.setdefault(t, len(number)) for t in tokens), dtype=np.int32, count=len(tokens)))
+    indptr, index = char_ngrams(list(number), LOW, HIGH, BUCKETS)
     sizes = np.diff(indptr)
     bags = []
     for tokens in docs:
-        which, copies = np.unique(np.fromiter((number[t] for t in tokens), dtype=np.int64, count=len(tokens)), return_counts=True)
+        which, copies = np.unique(tokens, return_counts=True)
         spans = np.repeat(indptr[which] - np.cumsum(sizes[which]) + sizes[which], sizes[which]) + np.arange(sizes[which].sum())
         counts = np.bincount(index[spans], weights=np.repeat(copies, sizes[which]), minlength=BUCKETS) if len(tokens) else np.zeros(BUCKETS)
         used = np.flatnonzero(counts)
-        bags.append((used.astype(np.int32), (counts[used] / max(counts.sum(), 1)).astype(np.float32)))
+        bags.append((used.astype(np.uint16 if BUCKETS <= 1 << 16 else np.int32), (counts[used] / max(counts.sum(), 1)).astype(np.float32)))
     target = np.eye(2)[y.astype(int)]
     steps = EPOCHS * len(docs)
     for step in range(steps):
