@@ -138,7 +138,7 @@ class Merges:
         for rank, (u, v, t) in enumerate(merges):
             k = bisect_left(ranks.get(v, []), rank)
             reach[t] = max(reach.get(v, 0), most[v][k - 1] if k else 0)
-            need = len(self.tokens[v]) + reach.get(v, 0)
+            need = len(self.tokens[v]) + reach[t]  # whether v comes about, and isn't taken from the right before
             seen = most.setdefault(u, [])
             seen.append(max(need, seen[-1] if seen else 0))
             ranks.setdefault(u, []).append(rank)
