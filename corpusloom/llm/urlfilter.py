@@ -103,7 +103,7 @@ def judge_urls(
             rows = [term_hits(u.lower(), strict, soft) if isinstance(u, str) and (strict or soft) else (0, 0) for u in urls]
             yield pd.DataFrame(rows, columns=["strict_hits", "soft_hits"], dtype="int32")
 
-    count = F.pandas_udf(hits, "strict_hits int, soft_hits int", F.PandasUDFType.SCALAR_ITER)
+    count = F.pandas_udf(hits, "strict_hits int, soft_hits int")
     action, rule = matching_rule(F.col("host"), F.col("path"), rules)
     vocabulary = F.when((F.col("strict_hits") > 0) | (F.col("soft_hits") >= soft_limit), "block").otherwise("allow")
     return (
