@@ -22,12 +22,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_checkpoint
 from .common import small_batches
 from .urlfilter import host_of
 
 #: Importance below which a branch goes, pages of a host that a node needs to be judged, attenuation.
 THRESHOLD, LEAST_PAGES, GAMMA = 0.25, 8, 0.9
 
+#: Paths of low importance that are broadcast at most, and salts of a host's pages beyond.
+BROADCAST_PATHS, SALTS = 200_000, 64
+
 TOKEN = re.compile(
     r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
@@ -286,12 +290,9 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD, least_pages: int = L
     """
     small_batches(pages.sparkSession)
     sites = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    low = (
-        style_tree(sites)
-        .where((F.col("pages") >= least_pages) & (F.col("importance") < threshold))
-        .groupBy("host")
-        .agg(F.collect_set("path").alias("low"))
-    )
+    judged = style_tree(sites).where((F.col("pages") >= least_pages) & (F.col("importance") < threshold)).select("host", "path")
+    low = shared_checkpoint(judged.groupBy("host").agg(F.collect_set("path").alias("low")))
+    held = low.agg(F.coalesce(F.sum(F.size("low") + 4), F.lit(0)).alias("n")).first()["n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -304,8 +305,12 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD, least_pages: int = L
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
+    if held <= BROADCAST_PATHS:
+        joined = sites.join(F.broadcast(low), "host", "left")  # its size has just been counted
+    else:  # a host may have a third of the pages: its pages are dealt to salts, its row is copied to each
+        salted = sites.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+        joined = salted.join(low.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "_salt"], "left")
     return (
-        sites.join(low, "host", "left")
-        .select(F.col("page_id").cast("long"), "url", "html", "host", "low")
+        joined.select(F.col("page_id").cast("long"), "url", "html", "host", "low")
         .mapInArrow(run, "page_id long, url string, text string, n_chars long")
     )
