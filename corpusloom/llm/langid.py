@@ -170,12 +170,16 @@ def fit(docs: DataFrame, condition: Column, max_rows: int = MAX_ROWS, max_chars:
     """
     learnable = docs.where(condition & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     counts, documents = document_counts(learnable)
-    short = learnable.where(F.length("text") <= max_chars)
+    short = learnable.where(F.length("text") <= max_chars).select("doc_id", "lang")
     langs = [r["lang"] for r in short.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()]
-    rows = []
+    picked = None  # ids alone are ordered; at most max_rows of them are broadcast
     for lang in langs:
         part = short.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max(1, max_rows // len(langs)))
-        rows += [(r["doc_id"], r["text"], r["lang"]) for r in part.collect()]
+        picked = part if picked is None else picked.unionByName(part)
+    rows = []
+    if picked is not None:
+        taken = learnable.where(F.length("text") <= max_chars).join(F.broadcast(picked.distinct()), ["doc_id", "lang"])
+        rows = [(r["doc_id"], r["text"], r["lang"]) for r in taken.dropDuplicates(["doc_id", "lang"]).collect()]
     rows.sort(key=lambda r: (r[0] * 2654435761 % 4294967296 if r[0] is not None else -1, r[1]))
     return train([r[1] for r in rows], [r[2] for r in rows], counts, documents)
 
