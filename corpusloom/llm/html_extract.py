@@ -6,9 +6,10 @@ site style tree. For every node the tree counts the pages that have it, the
 styles (sequences of child presentations) it takes and the texts below it. A
 node is important if its styles vary over the pages (entropy of its styles) or
 its texts do (one minus the entropy of its texts over the pages); template nodes
-look and read alike everywhere. Branches of low importance are removed from each
-page. A prior by presentation settles what HTML itself names: menus, forms and
-the like have none, an article has all of it.
+look and read alike everywhere. Branches whose nodes are all of low importance are
+removed from each page, inside articles as outside. A prior by presentation settles
+what HTML itself names: menus, forms and the like have no importance, that of nodes
+in an article or main element is weighted up.
 """
 
 from __future__ import annotations
@@ -29,7 +30,10 @@ from .urlfilter import host_of
 #: Importance below which a branch goes, pages of a host that a node needs to be judged, attenuation.
 THRESHOLD, LEAST_PAGES, GAMMA = 0.25, 8, 0.9
 
-#: Paths of low importance that are broadcast at most, and salts of a host's pages beyond.
+#: What the importance of nodes in an article or main element is multiplied by.
+MAIN_WEIGHT = 2.0
+
+#: Values of low nodes (path and importance) that are broadcast at most, and salts of a host's pages beyond.
 BROADCAST_PATHS, SALTS = 200_000, 64
 
 TOKEN = re.compile(
@@ -74,12 +78,14 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Page:
-    """A DOM as parallel lists: tag, presentation, prior, parent, path and children (numbers or text)."""
+    """A DOM as parallel lists: tag, presentation, prior, weight, parent, path and children (numbers or text)."""
 
     def __init__(self, source: str):
         self.tags, self.names, self.barred, self.parent, self.paths = ["#root"], ["#root"], [False], [-1], [0]
         self.children: list[list] = [[]]
+        self.weights = [1.0]
         self._parse(source)
+        self._forgive()
 
     def _open(self, tag: str, attributes: str, stack: list[int]) -> int:
         words: list[str] = []
@@ -104,6 +110,7 @@ class Page:
         self.tags.append(tag)
         self.names.append(name)
         self.barred.append(barred)
+        self.weights.append(MAIN_WEIGHT if inside or tag in MAIN else 1.0)
         self.parent.append(up)
         self.paths.append(xxhash.xxh64_intdigest(name, self.paths[up]))
         self.children.append([])
@@ -187,23 +194,42 @@ class Page:
             k = self.parent[k]
         return False
 
-    def main_nodes(self) -> list[int]:
-        """Outermost article or main elements; only a form among their ancestors may be barred."""
-        found = []
+    def _forgive(self) -> None:
+        """A form that holds an article or main element isn't barred, if nothing else above that is."""
         for k, tag in enumerate(self.tags):
             if tag not in MAIN or self.barred[k]:
                 continue
-            up, fine = self.parent[k], True
-            while up > 0 and fine:
-                fine = (not self.barred[up] or self.tags[up] == "form") and self.tags[up] not in MAIN
+            forms, up = [], self.parent[k]
+            while up > 0 and (not self.barred[up] or self.tags[up] == "form"):
+                if self.barred[up]:
+                    forms.append(up)
                 up = self.parent[up]
-            if fine:
-                found.append(k)
-        return found
+            if up <= 0:
+                for form in forms:
+                    self.barred[form] = False
+
+    def noise(self, low: dict[int, float], threshold: float) -> list[bool]:
+        """The branches all of whose nodes with text are of low weighted importance."""
+        out = [False] * len(self.tags)
+        if low:
+            bare = [True] * len(self.tags)  # no text in the branch
+            for k in range(len(self.tags) - 1, 0, -1):
+                inner = [c for c in self.children[k] if isinstance(c, int) and not self.barred[c] and not bare[c]]
+                bare[k] = not inner and not self._own_text(k)
+                whole = self.tags[k] in ("html", "body")
+                out[k] = not whole and low.get(self.paths[k], 1.0) * self.weights[k] < threshold and all(out[c] for c in inner)
+        return out
+
+    def _own_text(self, k: int) -> bool:
+        return any(isinstance(c, str) and not c.isspace() for c in self.children[k])
 
-    def text(self, low: frozenset | set = frozenset()) -> str:
-        """Blocks of what is left, one a line, once barred and low branches are gone."""
-        mains = self.main_nodes()
+    def text(self, low: dict[int, float] | None = None, threshold: float = THRESHOLD) -> str:
+        """Blocks of what is left, one a line, once barred branches and noise are gone.
+
+        ``low`` has the importance of paths that the tree finds low. Inline elements
+        amid the text of a block are part of that block and go with it alone.
+        """
+        noise = self.noise(low or {}, threshold)
         blocks: list[str] = []
         run: list[str] = []
 
@@ -213,24 +239,23 @@ class Page:
                 blocks.append(" ".join(words))
             run.clear()
 
-        todo: list = [(k, bool(mains)) for k in reversed(mains or [0])]
+        todo: list = [0]
         while todo:
-            item, safe = todo.pop()
+            item = todo.pop()
             if item is None:
                 flush()
             elif isinstance(item, str):
                 run.append(item)
             else:
-                keep = safe or self.tags[item] in ("#root", "html", "body")
-                if self.barred[item] and item not in mains or not keep and self.paths[item] in low:
-                    if self.tags[item] not in INLINE:
+                block = self.tags[item] not in INLINE
+                if self.barred[item] or noise[item] and (block or not self._own_text(self.parent[item])):
+                    if block:
                         flush()
                     continue
-                block = self.tags[item] not in INLINE
                 if block:
                     flush()
-                    todo.append((None, safe))
-                todo += [(c, safe) for c in reversed(self.children[item])]
+                    todo.append(None)
+                todo += reversed(self.children[item])
         flush()
         return "\n".join(blocks)
 
@@ -284,24 +309,23 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD, least_pages: int = L
 
     Null and empty pages have an empty text. Pages of a null URL, or one without
     ``://``, count as one host with an empty name. Repeated rows give repeated
-    results and count as often in the tree. A page with an article or main element
-    keeps that alone, whatever the tree says of the rest; nodes on fewer than
-    ``least_pages`` pages aren't judged by it. Other columns are not carried.
+    results and count as often in the tree. Nodes on fewer than ``least_pages`` pages
+    aren't judged by the tree and stay. Other columns are not carried.
     """
     small_batches(pages.sparkSession)
     sites = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    judged = style_tree(sites).where((F.col("pages") >= least_pages) & (F.col("importance") < threshold)).select("host", "path")
-    low = shared_checkpoint(judged.groupBy("host").agg(F.collect_set("path").alias("low")))
-    held = low.agg(F.coalesce(F.sum(F.size("low") + 4), F.lit(0)).alias("n")).first()["n"]
+    judged = style_tree(sites).where((F.col("pages") >= least_pages) & (F.col("importance") < threshold)).select("host", F.struct("path", "importance").alias("node"))
+    low = shared_checkpoint(judged.groupBy("host").agg(F.collect_list("node").alias("low")))
+    held = low.agg(F.coalesce(F.sum(2 * F.size("low") + 4), F.lit(0)).alias("n")).first()["n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets: dict[str, set] = {}
+            trees: dict[str, dict[int, float]] = {}
             texts = []
-            for source, host, paths in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
-                if host not in sets:
-                    sets[host] = {p & (1 << 64) - 1 for p in paths.as_py() or ()}
-                texts.append(Page(source or "").text(sets[host]))
+            for source, host, nodes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)):
+                if host not in trees:
+                    trees[host] = {n["path"] & (1 << 64) - 1: n["importance"] for n in nodes.as_py() or ()}
+                texts.append(Page(source or "").text(trees[host], threshold))
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 

@@ -94,6 +94,22 @@ def test_low_branches_go_by_the_tree(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_the_tree_judges_inside_and_outside_articles(spark):
+    """Template blocks go inside articles too, main text outside a teaser article stays."""
+    page = "<body><div class=q>Read our terms</div><article class=teaser><p>teaser {0}</p></article><div class=w><p>body {0}</p></div><article class=post><p>text <b>Note</b> {0}</p><div class=box>Jane writes here</div></article></body>"
+    pages = spark.createDataFrame([(k, f"http://h.org/{k}", page.format(k)) for k in range(20)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    assert got == {k: f"teaser {k}\nbody {k}\ntext Note {k}" for k in range(20)}
+
+
+def test_a_varying_part_keeps_its_branch(spark):
+    """Many template texts make a branch low as a whole; what varies below it stays."""
+    menu = "".join(f"<i>entry {j}</i>" for j in range(200))
+    rows = [(k, f"http://h.org/{k}", f"<body><div class=q><div class=m>{menu}</div><p>text {k}</p></div></body>") for k in range(8)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"text {k}" for k in range(8)}
+
+
 def test_salted_join_gives_the_same(spark, monkeypatch):
     want = sorted(map(tuple, Q.op6_html(spark, DATA).collect()))
     monkeypatch.setattr(html_extract, "BROADCAST_PATHS", -1)
