@@ -9,7 +9,9 @@ its texts do (one minus the entropy of its texts over the pages); template nodes
 look and read alike everywhere. Branches whose nodes are all of low importance are
 removed from each page, inside articles as outside. A prior by presentation settles
 what HTML itself names: menus, forms and the like have no importance, that of nodes
-in an article or main element is weighted up.
+in an article or main element is weighted up, and below a class or id that has such a
+name as a part (site-footer) it is weighted down. No name or form bars or weights a
+branch that holds the page's articles or most of its text.
 """
 
 from __future__ import annotations
@@ -33,6 +35,9 @@ THRESHOLD, LEAST_PAGES, GAMMA = 0.25, 8, 0.9
 #: What the importance of nodes in an article or main element is multiplied by.
 MAIN_WEIGHT = 2.0
 
+#: The same for nodes below a name that only hints at boilerplate.
+HINT_WEIGHT = 0.5
+
 #: Values of low nodes (path and importance) that are broadcast at most, and salts of a host's pages beyond.
 BROADCAST_PATHS, SALTS = 200_000, 64
 
@@ -66,7 +71,7 @@ CLOSES = {
     "tfoot": (frozenset({"thead", "tbody", "tfoot"}), frozenset({"table"})),
 }
 HEAD, HEAD_TAGS = frozenset({"head"}), frozenset("head title meta link style script base noscript template".split())
-#: Presentation prior: tags, class or id words and roles without importance; the second row only outside articles.
+#: Presentation prior: tags, whole class or id tokens and roles without importance. Parts of tokens, and the words of the last row outside articles, hint.
 NO_TAGS = frozenset("head nav footer aside form button select datalist input dialog menu template object embed svg canvas audio video applet map".split()) | RAW
 NO_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr login menu modal nav navbar navigation newsletter notice pager pagination popup promo recommended related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
@@ -83,33 +88,39 @@ class Page:
     def __init__(self, source: str):
         self.tags, self.names, self.barred, self.parent, self.paths = ["#root"], ["#root"], [False], [-1], [0]
         self.children: list[list] = [[]]
-        self.weights = [1.0]
+        self.soft, self.hinted, self.weights = [False], [False], [1.0]
         self._parse(source)
         self._forgive()
 
     def _open(self, tag: str, attributes: str, stack: list[int]) -> int:
         words: list[str] = []
-        barred = tag in NO_TAGS
+        barred, named, role, hinted = tag in NO_TAGS, False, False, False
         inside = any(self.tags[k] in MAIN for k in stack)
         for name, value in ATTRIBUTE.findall(attributes) if attributes else ():
             name, value = name.lower(), value.strip("\"'").lower()
             if name == "class" or name == "id":
                 found = NAME_WORDS.findall(value)
                 words += found if name == "class" else ()
-                barred |= not NO_WORDS.isdisjoint(found) or not inside and not OUTSIDE_WORDS.isdisjoint(found)
+                whole = name == "class" or tag not in MAIN
+                named |= whole and any(token.strip("-_0123456789") in NO_WORDS for token in value.split())
+                hinted |= not NO_WORDS.isdisjoint(found) or not inside and not OUTSIDE_WORDS.isdisjoint(found)
             elif name == "role":
-                barred |= value in NO_ROLES
+                role |= value in NO_ROLES
             elif name == "style":
                 barred |= bool(HIDDEN.search(value))
             else:
                 barred |= name == "hidden" or value == "true"
         if tag in MAIN or tag in ("html", "body"):
-            barred = barred and tag in MAIN and not NO_WORDS.isdisjoint(words)
-        barred |= tag in OUTSIDE_TAGS and not inside
+            barred = role = False
+            named = named and tag in MAIN
+        soft = tag == "form" or not barred
+        barred |= named or role or tag in OUTSIDE_TAGS and not inside
         name, up = ".".join([tag, *words]), stack[-1]
         self.tags.append(tag)
         self.names.append(name)
         self.barred.append(barred)
+        self.soft.append(barred and soft)
+        self.hinted.append(hinted and tag not in ("html", "body"))
         self.weights.append(MAIN_WEIGHT if inside or tag in MAIN else 1.0)
         self.parent.append(up)
         self.paths.append(xxhash.xxh64_intdigest(name, self.paths[up]))
@@ -171,9 +182,9 @@ class Page:
 
     def features(self) -> set[tuple[int, int, int]]:
         """(path, kind, value): 0 the node is there, 1 a style it takes, 2 a text below it."""
-        out = set()
+        out, barred = set(), self._branches(self.barred)
         for k in range(1, len(self.tags)):
-            if self._barred_above(k):
+            if barred[k]:
                 continue
             path = self.paths[k]
             out.add((path, 0, 0))
@@ -187,26 +198,56 @@ class Page:
                     up = self.parent[up]
         return out
 
-    def _barred_above(self, k: int) -> bool:
-        while k > 0:
-            if self.barred[k]:
-                return True
-            k = self.parent[k]
-        return False
-
     def _forgive(self) -> None:
-        """A form that holds an article or main element isn't barred, if nothing else above that is."""
-        for k, tag in enumerate(self.tags):
-            if tag not in MAIN or self.barred[k]:
-                continue
-            forms, up = [], self.parent[k]
-            while up > 0 and (not self.barred[up] or self.tags[up] == "form"):
-                if self.barred[up]:
-                    forms.append(up)
-                up = self.parent[up]
-            if up <= 0:
-                for form in forms:
-                    self.barred[form] = False
+        """Unbars forms around articles, and names, roles and forms around the page's only articles or else most of its text.
+
+        Hints that don't hold these lower the weights of their branches. A hidden
+        element, a menu or the like stays barred with all that it holds.
+        """
+        n = len(self.tags)
+        hard = self._branches([b and not s for b, s in zip(self.barred, self.soft)])
+        mains = [k for k in range(n) if self.tags[k] in MAIN and not self.barred[k] and not hard[k]]
+        above = {k: self._ancestors(k) for k in mains}
+        for k in mains:
+            bars = [up for up in above[k] if self.barred[up]]
+            if all(self.tags[up] == "form" for up in bars):
+                self._unbar(bars)
+        size, seen = self._lengths(hard), self._lengths(self._branches(self.barred))
+        mains = [k for k in mains if size[k]]
+        holds = {up for k in mains for up in above[k]}
+        if mains and not any(seen[k] and not any(self.barred[up] for up in above[k]) for k in mains):
+            self._unbar(up for up in holds if self.barred[up])
+            seen = self._lengths(self._branches(self.barred))
+        if not any(seen[k] for k in mains) and 2 * seen[0] < size[0]:
+            self._unbar(k for k in range(n) if self.soft[k] and not hard[k] and 2 * size[k] > size[0])
+            if not self._lengths(self._branches(self.barred))[0]:
+                self._unbar(k for k in range(n) if self.soft[k] and not hard[k])
+        hints = self._branches([h and k not in holds and 2 * size[k] <= size[0] for k, h in enumerate(self.hinted)])
+        self.weights = [w * HINT_WEIGHT if h else w for w, h in zip(self.weights, hints)]
+
+    def _unbar(self, nodes) -> None:
+        for k in nodes:
+            self.barred[k] = False
+
+    def _ancestors(self, k: int) -> list[int]:
+        out = []
+        while (k := self.parent[k]) > 0:
+            out.append(k)
+        return out
+
+    def _branches(self, flags: list[bool]) -> list[bool]:
+        """The flagged nodes and all below them."""
+        out = list(flags)
+        for k in range(1, len(out)):
+            out[k] = out[k] or out[self.parent[k]]
+        return out
+
+    def _lengths(self, without: list[bool]) -> list[int]:
+        """Characters of text in each branch, leaving nodes out."""
+        out = [0 if w else sum(len(c.strip()) for c in self.children[k] if isinstance(c, str)) for k, w in enumerate(without)]
+        for k in range(len(out) - 1, 0, -1):
+            out[self.parent[k]] += out[k]
+        return out
 
     def noise(self, low: dict[int, float], threshold: float) -> list[bool]:
         """The branches all of whose nodes with text are of low weighted importance."""
@@ -314,7 +355,7 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD, least_pages: int = L
     """
     small_batches(pages.sparkSession)
     sites = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    judged = style_tree(sites).where((F.col("pages") >= least_pages) & (F.col("importance") < threshold)).select("host", F.struct("path", "importance").alias("node"))
+    judged = style_tree(sites).where((F.col("pages") >= least_pages) & (F.col("importance") < threshold / HINT_WEIGHT)).select("host", F.struct("path", "importance").alias("node"))
     low = shared_checkpoint(judged.groupBy("host").agg(F.collect_list("node").alias("low")))
     held = low.agg(F.coalesce(F.sum(2 * F.size("low") + 4), F.lit(0)).alias("n")).first()["n"]
 

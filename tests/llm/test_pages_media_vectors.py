@@ -79,6 +79,35 @@ def test_page_text(source):
     assert html_extract.Page(source).text() == PAGES[source]
 
 
+NAMED = {
+    "<div class='layout has-sidebar'><article>text</article></div>": "text",
+    "<div id='no-sidebar'>text</div>": "text",
+    "<article class='post comments-open tag-cookies'>text</article>": "text",
+    "<div class=hero>a</div><div class=search>b</div><div id=header>c</div><p>d</p>": "a\nb\nc\nd",
+    "<div class='sidebar'><article>text</article></div>": "text",
+    "<div class='widget'><div class='sidebar'>most of the text</div></div><p>rest</p>": "most of the text\nrest",
+    "<div class=comment>a</div><div class=comment>b</div>": "a\nb",
+    "<main><div class=widget>text</div></main>": "text",
+    "<article>text</article><div id=comments-2><article>a long comment</article></div><form class=login>f</form>": "text",
+    "<article>text</article><div class=comments><article>a long comment</article></div><form>f</form>": "text",
+    "<aside><article>card</article></aside><div hidden><main>m</main></div><p>text</p>": "text",
+    "<form><header>h</header><article>in form</article></form><article>other</article>": "in form\nother",
+}
+
+
+@pytest.mark.parametrize("source", NAMED)
+def test_names_never_bar_the_main_text(source):
+    assert html_extract.Page(source).text() == NAMED[source]
+
+
+def test_names_lower_the_importance(spark):
+    """Of two blocks whose texts vary alike little, the one whose name hints at boilerplate goes."""
+    page = "<body><div class=w><p>text {0}</p></div><div class='{2}'>note {1}</div></body>"
+    rows = [(k, f"http://{host}.org/{k}", page.format(k, k % 6, name)) for host, name in (("a", "site-footer"), ("b", "plain")) for k in range(40)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {(r["url"][7], r["page_id"]): r["text"] for r in got} == {(h, k): f"text {k}" + (f"\nnote {k % 6}" if h == "b" else "") for h in "ab" for k in range(40)}
+
+
 def test_deep_and_long_pages():
     assert html_extract.Page("<div>" * 3000 + "x").text() == "x"
     assert len(html_extract.Page("<p>word</p>" * 20_000).text().split("\n")) == 20_000
