@@ -11,7 +11,8 @@ removed from each page, inside articles as outside. A prior by presentation sett
 what HTML itself names: menus, forms and the like have no importance, that of nodes
 in an article or main element is weighted up, and below a class or id that has such a
 name as a part (site-footer) it is weighted down. No name or form bars or weights a
-branch that holds the page's articles or most of its text.
+branch that holds the page's articles or most of its text. Copies of a page count
+once in the tree of their host, and a page the tree would leave without text keeps it.
 """
 
 from __future__ import annotations
@@ -268,9 +269,13 @@ class Page:
         """Blocks of what is left, one a line, once barred branches and noise are gone.
 
         ``low`` has the importance of paths that the tree finds low. Inline elements
-        amid the text of a block are part of that block and go with it alone.
+        amid the text of a block are part of that block and go with it alone. If noise
+        is all the page has, it stays.
         """
         noise = self.noise(low or {}, threshold)
+        return self._blocks(noise) or self._blocks([False] * len(noise)) if any(noise) else self._blocks(noise)
+
+    def _blocks(self, noise: list[bool]) -> str:
         blocks: list[str] = []
         run: list[str] = []
 
@@ -308,8 +313,8 @@ def _signed(x: int) -> int:
 def style_tree(pages: DataFrame) -> DataFrame:
     """The merged trees: host, path, pages, styles, importance of every node.
 
-    ``pages`` has host and html. Each page gives every fact once; facts are
-    counted by (host, path, kind, value), so a hot host spreads over its values
+    ``pages`` has host and html. Each page content of a host gives every fact
+    once, however many copies there are; facts are counted by (host, path, kind, value), so a hot host spreads over its values
     and template facts are combined before the shuffle.
     """
 
@@ -326,7 +331,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
                 [pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array(kinds, pa.int32()), pa.array(values, pa.int64())], ["host", "path", "kind", "value"]
             )
 
-    facts = pages.select("host", "html").mapInArrow(run, "host string, path long, kind int, value long")
+    facts = pages.select("host", "html").distinct().mapInArrow(run, "host string, path long, kind int, value long")
     counted = facts.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("k"))
     of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
     k = F.col("k").cast("double")
@@ -350,8 +355,9 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD, least_pages: int = L
 
     Null and empty pages have an empty text. Pages of a null URL, or one without
     ``://``, count as one host with an empty name. Repeated rows give repeated
-    results and count as often in the tree. Nodes on fewer than ``least_pages`` pages
-    aren't judged by the tree and stay. Other columns are not carried.
+    results; copies of a page count once in the tree of their host. Nodes on fewer than
+    ``least_pages`` different pages aren't judged by the tree and stay. Other columns
+    are not carried.
     """
     small_batches(pages.sparkSession)
     sites = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))

@@ -139,6 +139,20 @@ def test_a_varying_part_keeps_its_branch(spark):
     assert got == {k: f"text {k}" for k in range(8)}
 
 
+def test_copies_keep_their_text(spark):
+    """Copies of one page say nothing of what varies, and no page loses all text to the tree."""
+    rows = [(k, f"http://copies.org/{k}", "<body><div class=w><p>the text</p></div></body>") for k in range(20)]
+    near = [(k, f"http://near.org/{k}", f"<body><!-- {k} --><div class=w><p>the text</p></div></body>") for k in range(20)]
+    page = "<body><div class=w><p>text {0}</p></div><div class=q>terms {0}</div></body>"
+    mixed = [(k, f"http://mixed.org/{k}", page.format(min(k, 8))) for k in range(200)]
+    pages = spark.createDataFrame(rows + near + mixed, "page_id long, url string, html string")
+    got = {(r["url"][7], r["page_id"]): r["text"] for r in html_extract.extract(pages).collect()}
+    want = {(h, k): "the text" for h in "cn" for k in range(20)} | {("m", k): f"text {min(k, 8)}\nterms {min(k, 8)}" for k in range(200)}
+    assert got == want
+    trees = html_extract.style_tree(pages.withColumn("host", F.split("url", "/")[2])).where("host = 'mixed.org'").collect()
+    assert {r["pages"] for r in trees} == {9.0}
+
+
 def test_salted_join_gives_the_same(spark, monkeypatch):
     want = sorted(map(tuple, Q.op6_html(spark, DATA).collect()))
     monkeypatch.setattr(html_extract, "BROADCAST_PATHS", -1)
