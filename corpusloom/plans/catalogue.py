@@ -132,6 +132,13 @@ def label_projection(spark, d):
     return made.select("doc_id", F.map_keys("m").alias("label_names"), F.map_values("m").alias("label_values"))
 
 
+@query()
+def label_maps(spark, d):
+    """The labels of every document; a null language or source is left out of its map."""
+    made = _docs(spark, d).select("doc_id", D.labels_of({"language": F.col("lang"), "source": F.col("source")}).alias("m"))
+    return made.select("doc_id", F.map_keys("m").alias("label_names"), F.map_values("m").alias("label_values"))
+
+
 # ---- quality --------------------------------------------------------------------------------
 
 _CODE = " OR ".join([f"contains(lower(source), '{p}')" for p in D.CODE_PATHS] + [f"contains(substr(text, 1, 400), '{w}')" for w in D.CODE_WORDS])
@@ -452,6 +459,14 @@ def pruned_vocabulary(spark, d):
     return V.pruned(frequent, 4).withColumn("token_id", F.col("token_id").cast("long"))
 
 
+@query()
+def pruned_phrases(spark, d):
+    """All words, however rare, and the two-word phrases that pruning leaves."""
+    docs = _docs(spark, d)
+    phrases = V.ngram_counts(docs, 2, 1).select(F.col("phrase").alias("token"), "freq")
+    return V.pruned(V.word_counts(docs, ()).unionByName(phrases), 4).withColumn("token_id", F.col("token_id").cast("long"))
+
+
 @query(f"""WITH {LONG_CTE}, p AS (SELECT token, freq, CASE lang WHEN 'es' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 ELSE 3 END AS pool FROM long), b AS (SELECT token, min(pool) AS pool, arg_min(freq, pool) AS freq FROM p GROUP BY token)
 SELECT token, pool, row_number() OVER (ORDER BY pool, freq DESC, token) - 1 + {V.FIRST_ID} AS token_id FROM b ORDER BY pool, freq DESC, token LIMIT 3000""")
 def merged_pools(spark, d):
@@ -468,6 +483,14 @@ def word_splits(spark, d):
     return V.word_splits(tokens.where(F.length("token").between(4, 12)).withColumnRenamed("token", "word"), tokens)
 
 
+@query()
+def word_compositions(spark, d):
+    """Splits of every word, of any length, into two and three words or mined candidates."""
+    docs = _docs(spark, d)
+    words = V.word_counts(docs, ()).select("token")
+    return V.word_compositions(words.withColumnRenamed("token", "word"), words.unionByName(V.mined_candidates(docs).select("token")))
+
+
 @query(f"WITH {WORD_CTE}, t AS (SELECT DISTINCT token FROM words) SELECT token, hex(encode(replace('▁' || token, '▁', ' '))) AS bytes_hex FROM t")
 def spm_pieces(spark, d):
     tokens = V.word_counts(_docs(spark, d), ()).select("token")
