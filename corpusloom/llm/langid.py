@@ -24,6 +24,8 @@ from .common import WordTable, char_ngrams, small_batches
 LETTERS = re.compile(r"[^\W\d_]{1,32}")
 BUCKETS, LOW, HIGH = 1 << 16, 1, 3
 MAX_ROWS, MAX_CHARS = 4000, 20_000
+#: Languages learned at most: each has 65,536 weights, a few megabytes in training.
+MAX_LANGUAGES = 1000
 EPOCHS, ALPHA, BETA, L1, L2, SCALE = 2, 0.5, 1.0, 1e-4, 1e-4, 50.0
 UNKNOWN = "und"
 
@@ -166,24 +168,61 @@ def fit(docs: DataFrame, condition: Column, max_rows: int = MAX_ROWS, max_chars:
 
     Document frequencies cover all of them. The weights see at most ``max_rows``
     documents of at most ``max_chars`` characters, an equal number of each language
-    (of the 200 most frequent), in the order of a hash of the id.
+    and one at least, in the order of a hash of the id. Of a language that has only
+    longer documents, whole ones are taken up to as many characters in all, and one
+    at least. Over MAX_LANGUAGES languages are an error.
     """
     learnable = docs.where(condition & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     counts, documents = document_counts(learnable)
-    short = learnable.where(F.length("text") <= max_chars).select("doc_id", "lang")
-    langs = [r["lang"] for r in short.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()]
-    picked = None  # ids alone are ordered; at most max_rows of them are broadcast
-    for lang in langs:
-        part = short.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max(1, max_rows // len(langs)))
-        picked = part if picked is None else picked.unionByName(part)
-    rows = []
-    if picked is not None:
-        taken = learnable.where(F.length("text") <= max_chars).join(F.broadcast(picked.distinct()), ["doc_id", "lang"])
-        rows = [(r["doc_id"], r["text"], r["lang"]) for r in taken.dropDuplicates(["doc_id", "lang"]).collect()]
+    length = F.length("text")
+    found = learnable.groupBy("lang").agg(F.count("*").alias("n"), F.count(F.when(length <= max_chars, 1)).alias("short")).limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
+    if not found:
+        return train([], [], counts, documents)
+    quota = max(1, max_rows // len(found))
+    picked = _sample(learnable, [(r["lang"], r["short"] or r["n"], not r["short"]) for r in found], quota, max_chars)
+    ids = docs.sparkSession.createDataFrame(picked, learnable.select("doc_id", "lang", length.cast("long").alias("size")).schema)
+    sized = learnable.withColumn("size", length.cast("long"))
+    same = sized["doc_id"].eqNullSafe(ids["doc_id"]) & (sized["lang"] == ids["lang"]) & (sized["size"] == ids["size"])
+    taken = sized.join(F.broadcast(ids), same, "left_semi").dropDuplicates(["doc_id", "lang"])  # max_rows ids, or one a language
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in taken.select("doc_id", "text", "lang").collect()]
     rows.sort(key=lambda r: (r[0] * 2654435761 % 4294967296 if r[0] is not None else -1, r[1]))
     return train([r[1] for r in rows], [r[2] for r in rows], counts, documents)
 
 
+def _sample(learnable: DataFrame, languages: list[tuple[str, int, bool]], quota: int, max_chars: int) -> list[tuple]:
+    """(doc_id, lang, size): the first ``quota`` ids of each (language, documents, only long ones) by the hash of the id.
+
+    Each language is thinned by that hash to little more than its quota, so ids
+    alone go to the driver, and few; if too few came (ids that repeat), all of that
+    language are thinned less.
+    """
+    out, share = [], {lang: min(1.0, (2 * quota + 20) / n) for lang, n, _ in languages}
+    long = {lang: x for lang, _, x in languages}
+    hashed = learnable.select("doc_id", "lang", F.length("text").cast("long").alias("size"), F.xxhash64("doc_id").alias("hash"))
+    while share:
+        # the lowest hashes first: a share s is a bound of the hash
+        bounds = [(lang, (1 << 63) - 1 if s >= 1 else int(s * (1 << 64)) - (1 << 63), long[lang]) for lang, s in share.items()]
+        limits = learnable.sparkSession.createDataFrame(bounds, "lang string, bound long, long boolean")
+        near = hashed.join(F.broadcast(limits), "lang").where((F.col("hash") <= F.col("bound")) & (F.col("long") | (F.col("size") <= max_chars)))
+        by_lang: dict[str, list] = {lang: [] for lang in share}
+        for r in near.groupBy("lang", "hash", "doc_id").agg(F.min("size").alias("size")).collect():
+            by_lang[r["lang"]].append((r["hash"], r["doc_id"] is not None, r["doc_id"], r["size"]))
+        for lang, rows in by_lang.items():
+            if len(rows) < quota and share[lang] < 1:
+                share[lang] = min(1.0, 4 * share[lang])
+                continue
+            del share[lang]
+            room = quota * max_chars
+            for k, (_, _, doc_id, size) in enumerate(sorted(rows)[:quota]):
+                room -= size
+                if k and long[lang] and room < 0:
+                    break
+                out.append((doc_id, lang, size))
+    return out
+
+
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred and score of every row.
 

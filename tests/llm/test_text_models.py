@@ -75,6 +75,24 @@ def test_edge_rows(spark):
     assert got[4]["lang_pred"] in ("en", "es")
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    """More than 200 languages, one of them with long documents only; beyond the stated number it is an error."""
+    word = lambda k: "".join(chr(0x4E00 + 40 * k + j) for j in range(6))
+    rows = [(3 * k + j, f"{word(k)} {word(k)[::-1]} {j}", f"l{k:03}", "s", 1) for k in range(220) for j in range(3)]
+    rows += [(9000 + j, "lengthy " * 3000, "long", "s", 1) for j in range(3)] + [(None, f"{word(230)}", "none", "s", 1)] * 2
+    docs = spark.createDataFrame(rows, DOCS)
+    seen = {}
+    monkeypatch.setattr(langid, "train", lambda texts, langs, *_: seen.update(texts=texts, langs=langs))
+    langid.fit(docs, F.lit(True), max_rows=444)
+    assert sorted(seen["langs"]) == sorted([f"l{k:03}" for k in range(220)] * 2 + ["long", "none"])
+    assert [len(t) for t, x in zip(seen["texts"], seen["langs"]) if x == "long"] == [24_000]
+    langid.fit(docs, F.lit(True), max_rows=1)
+    assert len(seen["langs"]) == 222
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 221)
+    with pytest.raises(ValueError):
+        langid.fit(docs, F.lit(True))
+
+
 def test_filters_keep_columns(spark):
     docs = edge_docs(spark)
     kept = toxicity.keep_clean(docs, toy_toxicity())
