@@ -20,8 +20,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
 #: Projections, share of them that must collide, confidence in standard deviations, window growth.
 PROJECTIONS, SHARE, CONFIDENCE, GROWTH, SEED = 32, 0.5, 2.5, 1.4, 5
 #: First half-width, as a share of the projections' deviation.
@@ -120,21 +118,24 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str =
     Queries are the usable rows that meet ``is_query``, candidates all usable rows
     but those of the query's own id, of the query's dimension. Null ids, and
     vectors null, zero or with null or non-finite components, take no part. A
-    query id that comes more than once is searched once. Fewer than k candidates
-    give fewer rows. Every row is indexed; nothing is fitted on a sample.
+    query id that comes more than once is searched once, with the least of its vectors.
+    Fewer than k candidates give fewer rows. Every row is indexed; nothing is fitted on
+    a sample. Components so large that their squares would overflow are scaled by a
+    power of two, which changes no distance.
 
     Each block meets every query: queries (a stated share of the rows) are copied
     to the blocks, sorted behind the block's vectors and streamed past its index,
     so a task holds one block and one batch of queries.
     """
     spark = vectors.sparkSession
-    small_batches(spark, 2048)
     valid = vectors.where(F.col(id_column).isNotNull() & usable(F.col(vector))).select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("v"))
-    total = vectors.count()
+    size = F.array_max(F.transform(F.col("v"), F.abs)).cast("double")
+    about = valid.agg(F.count("*").alias("n"), F.max(size).alias("top")).first()
+    total, scale = about["n"], 2.0 ** -max(0, int(np.frexp(about["top"] or 1.0)[1]) - 480)
     blocks = max(1, -(-total // BLOCK), min(spark.sparkContext.defaultParallelism, total // LEAST_BLOCK))
     data = valid.select(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "id", "v")
     asked = vectors.where(is_query & F.col(id_column).isNotNull() & usable(F.col(vector))).select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("v"))
-    asked = asked.groupBy("id").agg(F.first("v").alias("v"))
+    asked = asked.groupBy("id").agg(F.min("v").alias("v"))
     copies = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "id", "v")
     reach, needed = reach_of(SHARE, PROJECTIONS, CONFIDENCE), int(np.ceil(SHARE * PROJECTIONS))
 
@@ -143,7 +144,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str =
         for batch in batches:
             block, kind, ids = (batch.column(c).to_numpy() for c in (0, 1, 2))
             lists = batch.column(3)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * scale
             ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
             out: list[tuple] = []
             cuts = np.flatnonzero(np.diff(block) | np.diff(kind)) + 1
@@ -161,7 +162,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_column: str =
                         rows = held.pop(len(v))
                         index[len(v)] = BlockIndex(np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows]))
                     if len(v) in index:
-                        out += [(ids[i], found, d) for d, found in index[len(v)].search(int(ids[i]), v, k, reach, needed)]
+                        out += [(ids[i], found, d / scale) for d, found in index[len(v)].search(int(ids[i]), v, k, reach, needed)]
             columns = list(zip(*out)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "vec_id", "score"])
 

@@ -1,11 +1,14 @@
 """Byte-level BPE as a streaming transducer with bounded lookahead.
 
 ``Merges`` holds a merge list and its sufficient lookahead K: bytes more than K
-beyond a token's end can't change that token. ``Transducer`` reads text in
-chunks, splits it into pre-tokens with a small character automaton and keeps at
-most one window of bytes: tokens that end K bytes before the window's end are
-emitted at once. ``TextMachine`` turns token bytes back into text, holding at
-most the three bytes of an unfinished character.
+beyond a token's end can't change that token. ``Transducer`` reads texts in chunks
+and emits ids once they are stable: those of a pre-token that is closed, and of one
+that is still open those that end K bytes before its end, as soon as it fills a
+window. A ``Stream`` is all that a text leaves open between two chunks: a few
+hundred characters and one window of bytes. Many texts go through at once, so closed
+pre-tokens are merged as vectors, and those seen before come from a bounded memo.
+``TextMachine`` turns token bytes back into text, holding at most the three bytes of
+an unfinished character.
 
 Why K is finite. In a merge list from training, a rule ranks after the rules
 that made its two sides, so the ranks of applied merges never fall. What happens
@@ -25,13 +28,14 @@ from bisect import bisect_left
 from codecs import getincrementaldecoder
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import slices
 
 #: The white space of pre-tokenization (Unicode White_Space).
 WHITE = frozenset(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -43,40 +47,47 @@ LETTERS_16 = (
     (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
 )
 DIGITS_16 = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
-#: Characters outside the range in which the classes below hold go through the automaton.
-UNSETTLED = re.compile("[^\x00-ӿ]|[\x1c-\x1f]")
-#: A space starts a pre-token of its own unless white space or the end follows.
-SAFE_CUT = re.compile(r" (?=\S)")
-#: Longer units go through the transducer by pieces instead of the memo.
-UNIT_CHARS = 256
-
-
-class CharKinds(dict):
-    """Character to L, N, s (white space) or o, filled as characters come."""
-
-    def __missing__(self, c: str) -> str:
-        point = ord(c)
-        if c in WHITE:
-            kind = "s"
-        elif any(a <= point <= b for a, b in LETTERS_16):
-            kind = "L"
-        elif any(a <= point <= b for a, b in DIGITS_16):
-            kind = "N"
-        else:
-            kind = unicodedata.category(c)[0]
-            kind = kind if kind in "LN" else "o"
-        if len(self) < 200_000:
-            self[c] = kind
-        return kind
-
-
-def pretoken_pattern(top: int = 0x500) -> re.Pattern:
-    """The pre-token pattern of this family of tokenizers for characters below ``top``."""
-    kinds = CharKinds()
-    sets = {k: "".join(re.escape(chr(c)) for c in range(top) if kinds[chr(c)] == k) for k in "LNs"}
-    letters, digits, white = (f"[{sets[k]}]" for k in "LNs")
-    other = f"[^{sets['s']}{sets['L']}{sets['N']}]"
-    return re.compile(f"'(?:[stmd]|re|ve|ll)| ?{letters}+| ?{digits}+| ?{other}+|{white}+(?![^{sets['s']}])|{white}+")
+_LATE = {chr(p): kind for kind, spans in (("L", LETTERS_16), ("N", DIGITS_16)) for a, b in spans for p in range(a, b + 1)}
+#: Below this code point the small pattern holds, which is faster than that of all characters.
+SMALL_TOP = 0x500
+BEYOND = re.compile(f"[^\x00-{chr(SMALL_TOP - 1)}]")
+#: Characters of an open pre-token or tail from which it goes through the window, and of the longest unit in the memo.
+OPEN_CHARS, MEMO_CHARS = 512, 256
+#: Bytes of texts that go through together, and of one chunk of a longer text.
+GROUP_BYTES, CHUNK_BYTES = 4 << 20, 1 << 18
+NO_IDS = np.zeros(0, dtype="<u4")
+
+
+def char_kind(c: str) -> str:
+    """L, N, s (white space) or o."""
+    if c in WHITE:
+        return "s"
+    kind = _LATE.get(c) or unicodedata.category(c)[0]
+    return kind if kind in "LN" else "o"
+
+
+class Patterns:
+    """The pre-token pattern of this family of tokenizers and the runs of each kind, for characters below ``top``."""
+
+    def __init__(self, top: int):
+        sets = dict.fromkeys("LNso", "")
+        for kind, points in groupby(map(chr, range(top)), char_kind):
+            first = last = next(points)
+            for last in points:
+                pass
+            sets[kind] += re.escape(first) if first == last else f"{re.escape(first)}-{re.escape(last)}"
+        letters, digits, white, other = f"[{sets['L']}]", f"[{sets['N']}]", f"[{sets['s']}]", f"[^{sets['s']}{sets['L']}{sets['N']}]"
+        self.findall = re.compile(f"'(?:[stmd]|re|ve|ll)| ?{letters}+| ?{digits}+| ?{other}+|{white}+(?![^{sets['s']}])|{white}+").findall
+        self.runs = {"L": re.compile(letters + "*"), "N": re.compile(digits + "*"), "s": re.compile(white + "*"), "o": re.compile(other + "*")}
+
+
+@lru_cache(maxsize=2)
+def patterns(top: int) -> Patterns:
+    return Patterns(top)
+
+
+def patterns_for(text: str) -> Patterns:
+    return patterns(0x110000 if not text.isascii() and BEYOND.search(text) else SMALL_TOP)
 
 
 def byte_letters() -> list[str]:
@@ -130,12 +141,18 @@ class Merges:
 
         reach[t]: bytes that can disturb the making of t from the right. For each
         left side u: the ranks of its rules so far and the running maximum of
-        (bytes of the right side + its reach).
+        (bytes of the right side + its reach). A list in which a rule comes before
+        the rules that make its sides, or makes what another has made, is refused:
+        its ranks could fall, and no bound would hold.
         """
+        known = set(self.byte_ids)
         reach: dict[int, int] = {}
         ranks: dict[int, list[int]] = {}
         most: dict[int, list[int]] = {}
         for rank, (u, v, t) in enumerate(merges):
+            if u not in known or v not in known or t in known:
+                raise ValueError(f"merge rule {rank} is out of order: the lookahead has no bound")
+            known.add(t)
             k = bisect_left(ranks.get(v, []), rank)
             reach[t] = max(reach.get(v, 0), most[v][k - 1] if k else 0)
             need = len(self.tokens[v]) + reach[t]  # whether v comes about, and isn't taken from the right before
@@ -197,7 +214,21 @@ class Merges:
                 for r, a, b in zip(some.tolist(), [0, *ends], ends):
                     out[r] = packed[a:b]
         for r in np.flatnonzero(sizes > low).tolist():
-            out[r] = np.array(self.merge(pieces[r]), dtype="<u4").tobytes()
+            window = bytearray(pieces[r])
+            out[r] = np.array(self.settled(window) + self.merge(bytes(window)), dtype="<u4").tobytes()
+        return out
+
+    def settled(self, window: bytearray) -> list[int]:
+        """Ids that no later byte can change, while the window is full; their bytes leave it."""
+        out: list[int] = []
+        while len(window) >= self.window:
+            end, stable = 0, self.window - self.lookahead
+            for i in self.merge(bytes(window[: self.window])):
+                if end + len(self.tokens[i]) > stable:
+                    break
+                end += len(self.tokens[i])
+                out.append(i)
+            del window[:end]
         return out
 
     def merge(self, data: bytes) -> list[int]:
@@ -245,171 +276,137 @@ class Merges:
         return [x for x, keep in zip(ids, live) if keep]
 
 
-class Transducer:
-    """Text chunks in, stable token ids out; memory doesn't grow with the text."""
-
-    def __init__(self, merges: Merges):
-        self.merges, self.kinds = merges, CharKinds()
-        self.window, self.state, self.held = bytearray(), "", ""
-
-    def _push(self, text: str, out: list[int]) -> None:
-        self.window += text.encode("utf-8", "surrogatepass")
-        while len(self.window) >= self.merges.window:
-            ids, end = self.merges.merge(bytes(self.window)), 0
-            stable = len(self.window) - self.merges.lookahead
-            for i in ids:
-                if end + len(self.merges.tokens[i]) > stable:
-                    break
-                end += len(self.merges.tokens[i])
-                out.append(i)
-            del self.window[:end]
-
-    def _close(self, out: list[int]) -> None:
-        if self.window:
-            out += self.merges.merge(bytes(self.window))
-            self.window.clear()
-
-    def feed(self, chunk: str) -> list[int]:
-        """Ids that this chunk has made stable."""
-        out: list[int] = []
-        for c in chunk:
-            self._step(c, out)
-        return out
-
-    def _start(self, c: str, out: list[int]) -> None:
-        """``c`` begins a pre-token."""
-        self.state = "'" if c == "'" else self.kinds[c]
-        if self.state == "s":
-            self.held = c
-        elif self.state != "'":
-            self._push(c, out)
-
-    def _step(self, c: str, out: list[int]) -> None:
-        state, kind = self.state, self.kinds[c]
-        if state == "'":
-            if c in "stmd":
-                self._push("'" + c, out)
-                self._close(out)
-                self.state = ""
-            elif c in "rvl":
-                self.state = "'" + c
-            else:  # a lone apostrophe starts a run of others
-                self._push("'", out)
-                self.state = "o"
-                self._step(c, out)
-        elif len(state) == 2:
-            if c == {"r": "e", "v": "e", "l": "l"}[state[1]]:
-                self._push(state + c, out)
-                self._close(out)
-                self.state = ""
-            else:
-                self._push("'", out)
-                self._close(out)
-                self.state = ""
-                self._start(state[1], out)
-                self._step(c, out)
-        elif state == "s":
-            if kind == "s":  # all but the last white space belong together
-                self._push(self.held, out)
-                self.held = c
-                return
-            self._close(out)
-            last, self.held = self.held, ""
-            self._push(last, out)
-            if last == " ":
-                self.state = kind
-                self._push(c, out)
-            else:
-                self._close(out)
-                self._start(c, out)
-        elif state and kind == state:
-            self._push(c, out)
-        else:
-            self._close(out)
-            self._start(c, out)
-
-    def finish(self) -> list[int]:
-        """The ids that waited for more text."""
-        out: list[int] = []
-        if self.state == "s":
-            self._push(self.held, out)
-        elif self.state[:1] == "'":
-            self._push("'", out)
-            self._close(out)
-            self._push(self.state[1:], out)
-        self._close(out)
-        self.state = self.held = ""
-        return out
-
-    def encode(self, chunks: Iterable[str]) -> Iterator[int]:
-        """Ids of a text that comes in chunks; names of special tokens give their ids."""
-        names = sorted(self.merges.special, key=len, reverse=True)
-        cut = re.compile("|".join(map(re.escape, names))) if names else None
-        hold, rest = max(map(len, names), default=1) - 1, ""
-        for chunk in chunks:
-            rest += chunk
-            while cut and (m := cut.search(rest)):
-                yield from self.feed(rest[: m.start()])
-                yield from self.finish()
-                yield self.merges.special[m[0]]
-                rest = rest[m.end() :]
-            ready = max(0, len(rest) - hold)
-            yield from self.feed(rest[:ready])
-            rest = rest[ready:]
-        yield from self.feed(rest)
-        yield from self.finish()
-
-
-class TextMachine:
-    """Token bytes in, text out; malformed bytes give U+FFFD as in lossy UTF-8."""
+class Stream:
+    """What a text leaves open between two chunks."""
 
     def __init__(self):
-        self.machine = getincrementaldecoder("utf-8")("replace")
+        self.tail = ""  # characters that may yet belong to other pre-tokens
+        self.kind, self.window = "", bytearray()  # of a long open pre-token: its kind and its last bytes
 
-    def feed(self, data: bytes) -> str:
-        return self.machine.decode(data)
 
-    def finish(self) -> str:
-        return self.machine.decode(b"", True)
-
-
-class Units(dict):
-    """Units between safe cuts to their ids (little-endian 32-bit), bounded.
+class Transducer:
+    """Chunks of texts in, stable ids out; what it holds doesn't grow with the texts.
 
-    A space that is followed by no white space starts a pre-token, whatever comes
-    before it, so a text falls into units there and every unit is encoded alone.
+    A space that no white space follows starts a pre-token, whatever comes before
+    it, so texts fall into units there, and each distinct unit is merged once.
     """
 
     def __init__(self, merges: Merges, limit: int = 400_000):
-        super().__init__()
         self.merges, self.limit = merges, limit
+        self.units: dict[str, bytes] = {}
         self.pretokens: dict[str, bytes] = {}
-        self.findall = pretoken_pattern().findall
-        self.odd = re.compile("|".join([UNSETTLED.pattern, *map(re.escape, merges.special)]))
-
-    def __missing__(self, unit: str) -> bytes:
-        """Long and unusual units: through the transducer."""
-        return np.fromiter(Transducer(self.merges).encode((unit,)), dtype="<u4").tobytes()
+        names = sorted(merges.special, key=len, reverse=True)
+        self.names = re.compile("|".join(map(re.escape, names))) if names else None
+        self.halves = sorted({n[:k] for n in names for k in range(1, len(n))}, key=len, reverse=True)
+
+    def feed(self, streams: list[Stream], chunks: list[str], last: list[bool]) -> list[np.ndarray]:
+        """The ids that the next chunk of each stream has made stable; all that is left with its last."""
+        plans = [self._plan(s, s.tail + chunk, end) for s, chunk, end in zip(streams, chunks, last)]
+        merged = iter(self._texts([x for plan in plans for x in plan if isinstance(x, str)]))
+        found = [[next(merged) if isinstance(x, str) else x for x in plan] for plan in plans]
+        return [parts[0] if len(parts) == 1 else np.concatenate([NO_IDS, *parts]) for parts in found]
+
+    def encode(self, chunks: Iterable[str]) -> Iterator[np.ndarray]:
+        """Ids of one text that comes in chunks, as they become stable."""
+        stream = Stream()
+        for chunk in chunks:
+            yield self.feed([stream], [chunk], [False])[0]
+        yield self.feed([stream], [""], [True])[0]
+
+    def rows(self, batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, bool]]:
+        """(part of the batch, row in it, ids, whether the row ends) over whole texts; nulls are empty."""
+        for part in slices([batch], at, 2048, GROUP_BYTES):
+            column = part.column(at)
+            if len(column) > 1 or column.nbytes <= CHUNK_BYTES:
+                texts = [t or "" for t in column.to_pylist()]
+                for k, ids in enumerate(self.feed([Stream() for _ in texts], texts, [True] * len(texts))):
+                    yield part, k, ids, True
+            else:
+                yield from ((part, 0, ids, end) for ids, end in self._long(column[0]))
+
+    def _long(self, text: pa.Scalar) -> Iterator[tuple[np.ndarray, bool]]:
+        stream, machine, data = Stream(), getincrementaldecoder("utf-8")(), memoryview(text.as_buffer() or b"")
+        for at in range(0, len(data), CHUNK_BYTES):
+            end = at + CHUNK_BYTES >= len(data)
+            yield self.feed([stream], [machine.decode(data[at : at + CHUNK_BYTES], end)], [end])[0], end
+        if not len(data):
+            yield NO_IDS, True
+
+    def _plan(self, s: Stream, text: str, last: bool) -> list:
+        """Ids and closed texts, in order, of all that is stable in ``text``; the rest goes to the stream."""
+        parts: list = []
+        while self.names and (m := self.names.search(text)):  # the names of special tokens give their ids
+            self._segment(s, text[: m.start()], True, parts)
+            parts.append(np.array([self.merges.special[m[0]]], dtype="<u4"))
+            text = text[m.end() :]
+        half = "" if last else next((h for h in self.halves if text.endswith(h)), "")
+        self._segment(s, text[: len(text) - len(half)], last, parts)
+        s.tail += half
+        return parts
+
+    def _segment(self, s: Stream, text: str, last: bool, parts: list) -> None:
+        s.tail = ""
+        if s.kind:  # a long pre-token is open
+            end = patterns_for(text).runs[s.kind].match(text).end()
+            whole = end == len(text)
+            upto = end - 1 if s.kind == "s" and not (last and whole) else end  # the last white space belongs to what follows
+            s.window += text[:upto].encode("utf-8", "surrogatepass")
+            parts.append(np.array(self.merges.settled(s.window), dtype="<u4"))
+            text = text[upto:]
+            if whole and not last:
+                s.tail = text
+                return
+            parts.append(np.array(self.merges.merge(bytes(s.window)), dtype="<u4"))
+            s.kind, s.window = "", bytearray()
+        if last:
+            parts += [text] if text else []
+            return
+        cut = _safe_cut(text)
+        parts += [text[:cut]] if cut else []
+        tail = text[cut:]
+        if len(tail) > OPEN_CHARS:
+            pieces = patterns_for(tail).findall(tail)
+            open_ones = 2 if pieces[-2:-1] == ["'"] and len(pieces[-1]) == 1 else 1  # it may become a contraction
+            parts.append(np.frombuffer(b"".join(self._pieces(pieces[:-open_ones])), dtype="<u4"))
+            tail = "".join(pieces[-open_ones:])
+            if len(tail) > OPEN_CHARS:
+                s.kind = char_kind(tail[-1])
+                upto = len(tail) - (s.kind == "s")
+                s.window += tail[:upto].encode("utf-8", "surrogatepass")
+                parts.append(np.array(self.merges.settled(s.window), dtype="<u4"))
+                tail = tail[upto:]
+        s.tail = tail
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids (little-endian 32-bit) of closed pre-tokens; new ones are merged together."""
+        new = list(set(pieces).difference(self.pretokens))
+        self.pretokens.update(zip(new, self.merges.merge_many([p.encode("utf-8", "surrogatepass") for p in new])))
+        found = list(map(self.pretokens.__getitem__, pieces))
+        for p in new:
+            if len(p) > MEMO_CHARS:
+                del self.pretokens[p]
+        if len(self.pretokens) > self.limit:
+            self.pretokens.clear()
+        return found
 
-    def learn(self, units: list[str]) -> list[bytes]:
+    def _units(self, units: list[str]) -> list[bytes]:
         """Ids of these units; those that are new are merged together."""
-        found = list(map(self.get, units))
-        new = [u for u, ids in zip(units, found) if ids is None and len(u) <= UNIT_CHARS and not self.odd.search(u)]
+        found = list(map(self.units.get, units))
+        new = list({u for u, ids in zip(units, found) if ids is None})
         if new:
-            parts = list(map(self.findall, new))
-            pieces = list(set().union(*parts).difference(self.pretokens))
-            self.pretokens.update(zip(pieces, self.merges.merge_many([p.encode() for p in pieces])))
-            get = self.pretokens.__getitem__
-            self.update(zip(new, [get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for p in parts]))
-        found = [self[u] if ids is None else ids for u, ids in zip(units, found)]
-        if len(self) > self.limit:
-            self.clear()
-        if len(self.pretokens) > self.limit:
-            self.pretokens.clear()
+            parts = [patterns_for(u).findall(u) for u in new]
+            ids = iter(self._pieces([p for part in parts for p in part]))
+            made = {u: b"".join([next(ids) for _ in part]) for u, part in zip(new, parts)}
+            found = [made[u] if ids is None else ids for u, ids in zip(units, found)]
+            self.units.update((u, ids) for u, ids in made.items() if len(u) <= MEMO_CHARS)
+        if len(self.units) > self.limit:
+            self.units.clear()
         return found
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of whole texts. Units are told apart by Arrow, so each distinct one is looked up once."""
+    def _texts(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of closed texts. Units are told apart by Arrow, so each distinct one is looked up once."""
+        if not texts:
+            return []
         heads = [t.partition(" ") for t in texts]
         lists = pc.split_pattern(pa.array([h[2] if h[1] else None for h in heads], type=pa.large_string()), " ")
         codes = pc.dictionary_encode(pc.list_flatten(lists))
@@ -417,8 +414,8 @@ class Units(dict):
         ends = np.cumsum(sizes)
         kinds = codes.dictionary.to_numpy(zero_copy_only=False).tolist()
         at = codes.indices.to_numpy(zero_copy_only=False)
-        known = self.learn([" " + u for u in kinds])
-        firsts = self.learn([h[0] for h in heads])
+        known = self._units([" " + u for u in kinds])
+        firsts = self._units([h[0] for h in heads])
         counts = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
         flat = np.frombuffer(b"".join(known), dtype="<u4")
         opens = np.cumsum(counts) - counts
@@ -433,18 +430,43 @@ class Units(dict):
         out = []
         for k, first in enumerate(firsts):
             if k in clumsy:
-                out.append(np.frombuffer(b"".join(self.learn(units_of(texts[k]))), dtype="<u4"))
+                out.append(np.frombuffer(b"".join(self._units(units_of(texts[k]))), dtype="<u4"))
             else:
                 out.append(np.concatenate([np.frombuffer(first, dtype="<u4"), body[cuts[k] : cuts[k + 1]]]))
         return out
 
 
+#: A space starts a pre-token of its own unless white space or the end follows.
+SAFE_CUT = re.compile(r" (?=\S)")
+
+
 def units_of(text: str) -> list[str]:
     """The units of a text; joined they give the text."""
     cuts = [m.start() for m in SAFE_CUT.finditer(text)]
     return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)]) if b > a]
 
 
+def _safe_cut(text: str) -> int:
+    """Where the last unit of a text starts."""
+    k = text.rfind(" ", 0, max(0, len(text) - 1))
+    while k > 0 and text[k + 1].isspace():
+        k = text.rfind(" ", 0, k)
+    return max(k, 0)
+
+
+class TextMachine:
+    """Token bytes in, text out; malformed bytes give U+FFFD as in lossy UTF-8."""
+
+    def __init__(self):
+        self.machine = getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, data: bytes) -> str:
+        return self.machine.decode(data)
+
+    def finish(self) -> str:
+        return self.machine.decode(b"", True)
+
+
 class ByteTable:
     """Bytes of every id in one buffer, so that many ids are spelt at once."""
 
@@ -462,10 +484,10 @@ class ByteTable:
 
 
 @lru_cache(maxsize=4)
-def loaded(path: str) -> tuple[Merges, Units, ByteTable]:
-    """Once in a worker: merges, memo and the bytes of each id."""
+def loaded(path: str) -> tuple[Merges, Transducer, ByteTable]:
+    """Once in a worker: merges, the transducer with its memo and the bytes of each id."""
     merges = Merges.load(path)
-    return merges, Units(merges), ByteTable(merges)
+    return merges, Transducer(merges), ByteTable(merges)
 
 
 def decode_pieces(ids: np.ndarray, table: ByteTable, piece: int = 1 << 14) -> Iterator[str]:
@@ -476,33 +498,58 @@ def decode_pieces(ids: np.ndarray, table: ByteTable, piece: int = 1 << 14) -> It
     yield machine.finish()
 
 
+class RoundTrip:
+    """Count and digests of a text's ids and of what they decode to, as the ids come."""
+
+    def __init__(self, table: ByteTable, keep: bool):
+        self.table, self.machine = table, TextMachine()
+        self.n, self.ids_digest, self.text_digest = 0, hashlib.sha256(), hashlib.sha256()
+        self.kept: tuple[list[int], list[str]] | None = ([], []) if keep else None
+
+    def feed(self, ids: np.ndarray, piece: int = 1 << 14) -> None:
+        self.n += len(ids)
+        self.ids_digest.update(ids.tobytes())
+        for k in range(0, len(ids), piece):
+            self._text(self.machine.feed(self.table.spell(ids[k : k + piece])))
+        if self.kept:
+            self.kept[0].extend(ids.tolist())
+
+    def _text(self, text: str) -> None:
+        self.text_digest.update(text.encode("utf-8", "surrogatepass"))
+        if self.kept:
+            self.kept[1].append(text)
+
+    def finish(self) -> list:
+        self._text(self.machine.finish())
+        row = [self.n, self.ids_digest.hexdigest(), self.text_digest.hexdigest()]
+        return row + [self.kept[0], "".join(self.kept[1])] if self.kept else row
+
+
 def encode_decode(docs: DataFrame, vocabulary: str, with_ids: bool = False) -> DataFrame:
     """Encode every whole text, decode the ids again, give counts and digests.
 
     Null texts count as empty (no tokens, digests of nothing); repeated rows give
     repeated results; other columns of ``docs`` are not carried. ``with_ids`` adds
     ``ids`` and ``decoded``. ``vocabulary`` is a path that executors can read.
-    Narrow: one pass, no shuffle.
+    Ids are digested and decoded as they become stable, so without ``with_ids`` a
+    long text takes no more memory than a chunk of it. Narrow: one pass, no shuffle.
     """
-    small_batches(docs.sparkSession, 2048)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, memo, table = loaded(vocabulary)
+        _, transducer, table = loaded(vocabulary)
         for batch in batches:
-            out: list[list] = [[] for _ in names]
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), memo.encode(texts)):
-                digest = hashlib.sha256()
-                for text in decode_pieces(ids, table):
-                    digest.update(text.encode("utf-8", "surrogatepass"))
-                row = [doc_id, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), digest.hexdigest()]
-                if with_ids:
-                    row += [ids.tolist(), "".join(decode_pieces(ids, table))]
-                for column, value in zip(out, row):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, types)], names)
-
-    names, types = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.int64(), pa.string(), pa.string()]
+            out: list[list] = [[] for _ in names[1:]]
+            trip = None
+            for _, _, ids, end in transducer.rows(batch, 1):
+                trip = trip or RoundTrip(table, with_ids)
+                trip.feed(ids)
+                if end:
+                    for column, value in zip(out, trip.finish()):
+                        column.append(value)
+                    trip = None
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, type=t) for c, t in zip(out, types))], names)
+
+    names, types = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.string(), pa.string()]
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if with_ids:
         names, types, schema = [*names, "ids", "decoded"], [*types, pa.list_(pa.int32()), pa.string()], schema + ", ids array<int>, decoded string"

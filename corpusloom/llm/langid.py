@@ -18,12 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, char_ngrams, small_batches
+from .common import WordTable, bounded_sample, char_ngrams, sampled_texts, slices, text_parts
 
-#: Runs of letters, long ones cut.
+#: Runs of word characters other than decimal digits, long ones cut; what else is no letter goes in ``spelt``.
 LETTERS = re.compile(r"[^\W\d_]{1,32}")
 BUCKETS, LOW, HIGH = 1 << 16, 1, 3
-MAX_ROWS, MAX_CHARS = 4000, 20_000
+#: The training sample: documents, and characters of all their texts; each language has an equal share.
+MAX_ROWS, MAX_CHARS = 4000, 10_000_000
+#: Longer texts are judged in parts of about so many characters.
+PART_CHARS = 1 << 20
 #: Languages learned at most: each has 65,536 weights, a few megabytes in training.
 MAX_LANGUAGES = 1000
 EPOCHS, ALPHA, BETA, L1, L2, SCALE = 2, 0.5, 1.0, 1e-4, 1e-4, 50.0
@@ -42,16 +45,15 @@ class LanguageModel:
 
     def word_rows(self, words: list[str]) -> np.ndarray:
         """For each word: its n-grams' summed contributions, then their number."""
-        indptr, index = char_ngrams(words, LOW, HIGH, BUCKETS, whole=False)
+        indptr, index = word_ngrams(words)
         values = (self.weights * self.idf[:, None]).astype(np.float64)[index]
         sums = np.concatenate([np.zeros((1, values.shape[1])), np.cumsum(values, axis=0)])
         return np.column_stack([sums[indptr[1:]] - sums[indptr[:-1]], np.diff(indptr)])
 
-    def predict(self, rows: np.ndarray) -> tuple[str, float]:
-        """Language and calibrated probability from a document's word rows."""
-        if not len(rows) or not self.languages:
+    def predict(self, total: np.ndarray) -> tuple[str, float]:
+        """Language and calibrated probability from the sum of a document's word rows."""
+        if not total[-1] or not self.languages:
             return UNKNOWN, 0.0
-        total = rows.sum(axis=0)
         z = (SCALE * total[:-1] / max(total[-1], 1.0) + self.bias) / self.temperature
         e = np.exp(z - z.max())
         best = int(e.argmax())
@@ -62,30 +64,46 @@ def words_of(text: str) -> list[str]:
     return LETTERS.findall(text.lower())
 
 
+def spelt(word: str) -> str:
+    """The letters of a word: ½, ², Ⅷ and the like are numbers."""
+    return word if word.isalpha() else "".join(filter(str.isalpha, word))
+
+
+def word_ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-grams of the letters of each word as compressed rows; none without a letter."""
+    letters = list(map(spelt, words))
+    indptr, index = char_ngrams(letters, LOW, HIGH, BUCKETS, whole=False)
+    if all(letters):
+        return indptr, index
+    sizes = np.diff(indptr)
+    held = np.array([bool(w) for w in letters])
+    return np.concatenate([[0], np.cumsum(np.where(held, sizes, 0))]), index[np.repeat(held, sizes)]
+
+
 def document_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Documents that hold each hashed n-gram, and documents, over all of ``docs``.
 
     Every task sums its own documents into one array, so what is shuffled and sent
     to the driver is at most BUCKETS numbers a task and BUCKETS in all.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen, known = np.zeros(BUCKETS + 1, dtype=np.int64), np.zeros(BUCKETS, dtype=bool), {}
-        for batch in batches:
-            bags = [set(words_of(t or "")) for t in batch.column(0).to_pylist()]
-            if len(known) > 300_000:
-                known = {}
-            new = sorted(set().union(*bags).difference(known))
-            indptr, index = char_ngrams(new, LOW, HIGH, BUCKETS, whole=False)
-            index = index.astype(np.int32)
-            known.update(zip(new, np.split(index, indptr[1:-1])))
-            for bag in bags:
-                if bag:
-                    seen[np.concatenate([known[w] for w in bag])] = True
-                    counts[:-1] += seen
-                    seen[:] = False
-            counts[-1] += len(bags)
+        for batch in slices(batches, 0):
+            texts = [t or "" for t in batch.column(0).to_pylist()]
+            for group in grouped(texts):  # a long text stands alone and comes in parts
+                bags = [set(words_of(part)) for text in group for part in text_parts(text, PART_CHARS)]
+                if len(known) > 300_000:
+                    known = {}
+                new = sorted(set().union(*bags).difference(known))
+                indptr, index = word_ngrams(new)
+                known.update(zip(new, np.split(index, indptr[1:-1])))
+                for bag in [set().union(*bags)] if len(group) == 1 else bags:
+                    if bag:
+                        seen[np.concatenate([known[w] for w in bag])] = True
+                        counts[:-1] += seen
+                        seen[:] = False
+            counts[-1] += len(texts)
         held = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(held, type=pa.int32()), pa.array(counts[held], type=pa.int64())], ["bucket", "n"])
 
@@ -96,12 +114,19 @@ def document_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
     return counts[:-1], int(counts[-1])
 
 
+def grouped(texts: list[str]) -> list[list[str]]:
+    """Texts of one part together, each longer one alone."""
+    return [[t for t in texts if len(t) <= PART_CHARS]] + [[t] for t in texts if len(t) > PART_CHARS]
+
+
 def vector(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """TF-IDF of a text: buckets and SCALE * frequency * idf."""
     words, copies = np.unique(np.array(words_of(text), dtype=object), return_counts=True) if text else ([], [])
     if not len(words):
         return np.zeros(0, dtype=np.int64), np.zeros(0)
-    indptr, index = char_ngrams(list(words), LOW, HIGH, BUCKETS, whole=False)
+    indptr, index = word_ngrams(list(words))
+    if not len(index):
+        return np.zeros(0, dtype=np.int64), np.zeros(0)
     used, inverse = np.unique(index, return_inverse=True)
     counts = np.bincount(inverse, weights=np.repeat(copies, np.diff(indptr)))
     return used, SCALE * counts / counts.sum() * idf[used]
@@ -167,80 +192,53 @@ def fit(docs: DataFrame, condition: Column, max_rows: int = MAX_ROWS, max_chars:
     """Learn from the documents that meet ``condition``.
 
     Document frequencies cover all of them. The weights see at most ``max_rows``
-    documents of at most ``max_chars`` characters, an equal number of each language
-    and one at least, in the order of a hash of the id. Of a language that has only
-    longer documents, whole ones are taken up to as many characters in all, and one
-    at least. Over MAX_LANGUAGES languages are an error.
+    documents and ``max_chars`` characters, an equal share for each language (one
+    document at least), in the order of a hash of the id; see ``bounded_sample``.
+    Over MAX_LANGUAGES languages are an error.
     """
-    learnable = docs.where(condition & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    learnable = docs.where(condition & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts, documents = document_counts(learnable)
-    length = F.length("text")
-    found = learnable.groupBy("lang").agg(F.count("*").alias("n"), F.count(F.when(length <= max_chars, 1)).alias("short")).limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
-    if not found:
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("class"), F.xxhash64("text").alias("hash"), F.length("text").cast("long").alias("size")]
+    _, picked = bounded_sample(learnable.select(*columns), max_rows, max_chars, "language", MAX_LANGUAGES)
+    if not picked:
         return train([], [], counts, documents)
-    quota = max(1, max_rows // len(found))
-    picked = _sample(learnable, [(r["lang"], r["short"] or r["n"], not r["short"]) for r in found], quota, max_chars)
-    ids = docs.sparkSession.createDataFrame(picked, learnable.select("doc_id", "lang", length.cast("long").alias("size")).schema)
-    sized = learnable.withColumn("size", length.cast("long"))
-    same = sized["doc_id"].eqNullSafe(ids["doc_id"]) & (sized["lang"] == ids["lang"]) & (sized["size"] == ids["size"])
-    taken = sized.join(F.broadcast(ids), same, "left_semi").dropDuplicates(["doc_id", "lang"])  # max_rows ids, or one a language
-    rows = [(r["doc_id"], r["text"], r["lang"]) for r in taken.select("doc_id", "text", "lang").collect()]
+    rows = [(r["doc_id"], r["text"], r["class"]) for r in sampled_texts(docs, picked, "string")]
     rows.sort(key=lambda r: (r[0] * 2654435761 % 4294967296 if r[0] is not None else -1, r[1]))
     return train([r[1] for r in rows], [r[2] for r in rows], counts, documents)
 
 
-def _sample(learnable: DataFrame, languages: list[tuple[str, int, bool]], quota: int, max_chars: int) -> list[tuple]:
-    """(doc_id, lang, size): the first ``quota`` ids of each (language, documents, only long ones) by the hash of the id.
-
-    Each language is thinned by that hash to little more than its quota, so ids
-    alone go to the driver, and few; if too few came (ids that repeat), all of that
-    language are thinned less.
-    """
-    out, share = [], {lang: min(1.0, (2 * quota + 20) / n) for lang, n, _ in languages}
-    long = {lang: x for lang, _, x in languages}
-    hashed = learnable.select("doc_id", "lang", F.length("text").cast("long").alias("size"), F.xxhash64("doc_id").alias("hash"))
-    while share:
-        # the lowest hashes first: a share s is a bound of the hash
-        bounds = [(lang, (1 << 63) - 1 if s >= 1 else int(s * (1 << 64)) - (1 << 63), long[lang]) for lang, s in share.items()]
-        limits = learnable.sparkSession.createDataFrame(bounds, "lang string, bound long, long boolean")
-        near = hashed.join(F.broadcast(limits), "lang").where((F.col("hash") <= F.col("bound")) & (F.col("long") | (F.col("size") <= max_chars)))
-        by_lang: dict[str, list] = {lang: [] for lang in share}
-        for r in near.groupBy("lang", "hash", "doc_id").agg(F.min("size").alias("size")).collect():
-            by_lang[r["lang"]].append((r["hash"], r["doc_id"] is not None, r["doc_id"], r["size"]))
-        for lang, rows in by_lang.items():
-            if len(rows) < quota and share[lang] < 1:
-                share[lang] = min(1.0, 4 * share[lang])
-                continue
-            del share[lang]
-            room = quota * max_chars
-            for k, (_, _, doc_id, size) in enumerate(sorted(rows)[:quota]):
-                room -= size
-                if k and long[lang] and room < 0:
-                    break
-                out.append((doc_id, lang, size))
-    return out
-
-
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred and score of every row.
 
     Null texts and those without a letter are ``und`` with score 0; so is all if
     no language could be learnt. Repeated rows give repeated results. Narrow.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         memo = WordTable(model.word_rows, len(model.languages) + 1)
-        for batch in batches:
-            docs = [words_of(t or "") for t in batch.column(1).to_pylist()]
-            memo.learn(docs)
-            found = [model.predict(memo.rows[memo.of(d)]) for d in docs]
+        for batch in slices(batches, 1):
+            totals = document_rows([t or "" for t in batch.column(1).to_pylist()], memo)
+            found = [model.predict(total) for total in totals]
             columns = [batch.column(0), pa.array([f[0] for f in found], type=pa.string()), pa.array([f[1] for f in found], type=pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score"])
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def document_rows(texts: list[str], memo: WordTable) -> list[np.ndarray]:
+    """The sum of the word rows of each text; long texts are summed part by part."""
+    out: list = []
+    for text in texts:
+        if len(text) <= PART_CHARS:
+            out.append(words_of(text))
+            continue
+        total = np.zeros(memo.width)
+        for part in text_parts(text, PART_CHARS):
+            words = words_of(part)
+            memo.learn([words])
+            total += memo.rows[memo.of(words)].sum(axis=0)
+        out.append(total)
+    memo.learn([x for x in out if isinstance(x, list)])
+    return [memo.rows[memo.of(x)].sum(axis=0) if isinstance(x, list) else x for x in out]

@@ -1,10 +1,11 @@
 """Media columns: payloads in ISO media containers, read by their sample tables.
 
-A container is a tree of boxes (size, four-character type, body). The writer
-stores a payload as the 8-bit samples of one PCM sound track; the reader walks
-the nested boxes, decodes the sample tables (stsz, stsc, stco/co64, stts, stss)
-into byte ranges and gives codec, duration and keyframe ranges without decoding
-any payload.
+A container is a tree of boxes (size, four-character type, body). The reader walks
+the nested boxes, decodes the sample tables (stsz or stz2, stsc, stco/co64, stts,
+stss) and the runs of movie fragments (tfhd, trun, with the defaults of trex) into
+byte ranges and gives codec, duration and keyframe ranges without decoding any
+payload: ``describe_media`` for a column of files, ``read_tracks`` for one. The writer
+stores a payload as the 8-bit samples of one PCM sound track.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import slices
 
 #: Payload bytes are padded with 255 to a positive multiple of this.
 FRAME_BYTES = 576
@@ -84,10 +85,15 @@ def write_container(payload: bytes) -> bytes:
 
 
 def boxes(data: bytes | memoryview, start: int = 0, end: int | None = None, path: tuple = ()) -> Iterator[tuple[tuple, int, int]]:
-    """(path of types, body start, body end) of every box, nested ones included."""
-    end = len(data) if end is None else end
-    at = start
-    while at + 8 <= end:
+    """(path of types, body start, body end) of every box, nested ones included.
+
+    A box that ends beyond what holds it raises ValueError.
+    """
+    todo = [(start, len(data) if end is None else end, path)]
+    while todo:
+        at, end, path = todo.pop()
+        if at + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, at)
         body = at + 8
         if size == 1:
@@ -99,9 +105,9 @@ def boxes(data: bytes | memoryview, start: int = 0, end: int | None = None, path
         if stop < body or stop > end:
             raise ValueError(f"box {kind!r} at {at} is cut off")
         yield (*path, kind), body, stop
+        todo.append((stop, end, path))
         if kind in CONTAINERS:
-            yield from boxes(data, body, stop, (*path, kind))
-        at = stop
+            todo.append((body, stop, (*path, kind)))
 
 
 def _table(data, body: int, count_at: int, kind: str, width: int = 1) -> np.ndarray:
@@ -110,25 +116,85 @@ def _table(data, body: int, count_at: int, kind: str, width: int = 1) -> np.ndar
     return flat.reshape(n, width) if width > 1 else flat
 
 
+def _small_sizes(data, body: int) -> np.ndarray:
+    """Sizes of 4, 8 or 16 bits (stz2)."""
+    bits, n = data[body + 7], struct.unpack_from(">I", data, body + 8)[0]
+    if bits == 4:
+        pairs = np.frombuffer(data, dtype=np.uint8, count=-(-n // 2), offset=body + 12)
+        return np.stack([pairs >> 4, pairs & 15], axis=1).ravel()[:n].astype(np.int64)
+    return np.frombuffer(data, dtype={8: ">u1", 16: ">u2"}[bits], count=n, offset=body + 12).astype(np.int64)
+
+
+#: Bits of tfhd and trun that say which fields follow, and the sample flag of no sync sample.
+TFHD_FIELDS = ((0x1, "base", ">Q"), (0x2, "entry", ">I"), (0x8, "duration", ">I"), (0x10, "size", ">I"), (0x20, "flags", ">I"))
+TRUN_FIELDS = ((0x100, "duration"), (0x200, "size"), (0x400, "flags"), (0x800, "shift"))
+NOT_SYNC = 0x10000
+
+
+def _run(data, body: int, moof: int, after: int | None, defaults: dict) -> dict:
+    """Sizes, starts, ticks and sync samples of one run of a movie fragment."""
+    flags, n = struct.unpack_from(">II", data, body)
+    flags &= 0xFFFFFF
+    at, start = body + 8, defaults.get("base", moof) if after is None else after
+    if flags & 0x1:
+        start = defaults.get("base", moof) + struct.unpack_from(">i", data, at)[0]
+        at += 4
+    first = None
+    if flags & 0x4:
+        (first,) = struct.unpack_from(">I", data, at)
+        at += 4
+    fields = [name for bit, name in TRUN_FIELDS if flags & bit]
+    rows = np.frombuffer(data, dtype=">u4", count=n * len(fields), offset=at).reshape(n, len(fields)).astype(np.int64)
+    column = lambda name: rows[:, fields.index(name)] if name in fields else np.full(n, defaults.get(name, 0), dtype=np.int64)
+    sizes, marks = column("size"), column("flags").copy()
+    if first is not None and n:
+        marks[0] = first
+    return {"sizes": sizes, "starts": start + np.cumsum(sizes) - sizes, "ticks": int(column("duration").sum()), "sync": (marks & NOT_SYNC) == 0}
+
+
 def read_tracks(data: bytes) -> list[dict]:
     """Codec, timescale, duration and sample byte ranges of every track.
 
     Sample n lies at ``starts[n]`` with ``sizes[n]`` bytes; ``keys`` are the
-    numbers (from 0) of the sync samples, all of them without a stss box.
+    numbers (from 0) of the sync samples, all of them without a stss box. Samples of
+    movie fragments follow those of the sample tables. ``duration`` is what mdhd says
+    or, where that is nothing, the sum of the sample durations. A track without
+    sample tables has no samples; tables that don't fit raise ValueError.
     """
     tracks: list[dict] = []
+    extends, moof, now, ends = {}, 0, None, {}
     for path, body, _ in boxes(data):
         kind = path[-1]
         if kind == b"trak":
             tracks.append({})
+        elif kind == b"trex":
+            number, _, duration, size, flags = struct.unpack_from(">5I", data, body + 4)
+            extends[number] = {"duration": duration, "size": size, "flags": flags}
+        elif kind == b"moof":
+            moof, ends = body - 8, {}
+        elif kind == b"tfhd":
+            flags, number = struct.unpack_from(">II", data, body)
+            now, at = {"number": number, **extends.get(number, {})}, body + 8
+            for bit, name, form in TFHD_FIELDS:
+                if flags & bit:
+                    (now[name],) = struct.unpack_from(form, data, at)
+                    at += struct.calcsize(form)
+        elif kind == b"trun" and now:
+            found = _run(data, body, moof, ends.get(now["number"]), now)
+            ends[now["number"]] = int(found["starts"][-1] + found["sizes"][-1]) if len(found["sizes"]) else ends.get(now["number"])
+            for t in tracks:
+                if t.get("number") == now["number"]:
+                    t.setdefault("runs", []).append(found)
         elif not tracks:
             continue
+        elif kind == b"tkhd":
+            (tracks[-1]["number"],) = struct.unpack_from(">I", data, body + (20 if data[body] == 1 else 12))
         elif kind == b"mdhd":
             long = data[body] == 1
             scale, length = struct.unpack_from(">IQ" if long else ">II", data, body + (20 if long else 12))
             tracks[-1] |= {"timescale": scale, "duration": length}
         elif kind == b"hdlr":
-            tracks[-1]["handler"] = bytes(data[body + 8 : body + 12]).decode("latin-1")
+            tracks[-1].setdefault("handler", bytes(data[body + 8 : body + 12]).decode("latin-1"))
         elif kind == b"stsd":
             tracks[-1]["codec"] = bytes(data[body + 12 : body + 16]).decode("latin-1")
         elif kind == b"stts":
@@ -140,21 +206,40 @@ def read_tracks(data: bytes) -> list[dict]:
         elif kind == b"stsz":
             size, n = struct.unpack_from(">II", data, body + 4)
             tracks[-1]["sizes"] = np.full(n, size, dtype=np.int64) if size else _table(data, body, 8, ">u4")
+        elif kind == b"stz2":
+            tracks[-1]["sizes"] = _small_sizes(data, body)
         elif kind in (b"stco", b"co64"):
             tracks[-1]["chunks"] = _table(data, body, 4, ">u4" if kind == b"stco" else ">u8")
     for t in tracks:
-        sizes, chunks, runs = t["sizes"], t["chunks"], t["stsc"]
-        first = np.append(runs[:, 0] - 1, len(chunks))
-        each = np.repeat(runs[:, 1], np.diff(first))
-        chunk = np.repeat(np.arange(len(chunks)), each)[: len(sizes)]
-        before = np.cumsum(sizes) - sizes
-        opening = np.concatenate([[0], np.cumsum(each)[:-1]])
-        t["starts"] = chunks[chunk] + before - before[np.minimum(opening, max(len(sizes) - 1, 0))][chunk]
-        t["ticks"] = int((t["stts"][:, 0] * t["stts"][:, 1]).sum())
-        t["keys"] = t["stss"] - 1 if "stss" in t else np.arange(len(sizes))
+        _place(t)
     return tracks
 
 
+def _place(t: dict) -> None:
+    """Starts, sync samples, ticks and duration of a track, from its tables and runs."""
+    none = np.zeros(0, dtype=np.int64)
+    sizes, chunks, runs = t.get("sizes", none), t.get("chunks", none), t.get("stsc", none.reshape(0, 3))
+    first = np.append(runs[:, 0] - 1, len(chunks))
+    each = np.repeat(runs[:, 1], np.maximum(0, np.diff(first)))
+    if each.sum() < len(sizes):
+        raise ValueError("the chunks hold fewer samples than there are")
+    chunk = np.repeat(np.arange(len(each)), each)[: len(sizes)]
+    before = np.cumsum(sizes) - sizes
+    opening = (np.cumsum(each) - each)[chunk]
+    t["starts"] = chunks[chunk] + before - before[opening]
+    t["sizes"] = sizes
+    t["ticks"] = int((t["stts"][:, 0] * t["stts"][:, 1]).sum()) if "stts" in t else 0
+    t["keys"] = t["stss"] - 1 if "stss" in t else np.arange(len(sizes))
+    for run in t.get("runs", ()):
+        t["keys"] = np.concatenate([t["keys"], len(t["sizes"]) + np.flatnonzero(run["sync"])])
+        t["starts"], t["sizes"] = np.concatenate([t["starts"], run["starts"]]), np.concatenate([t["sizes"], run["sizes"]])
+        t["ticks"] += run["ticks"]
+    if len(t["keys"]) and t["keys"].max() >= len(t["sizes"]):
+        raise ValueError("a sync sample is beyond the last sample")
+    t["timescale"] = t.get("timescale", 0)
+    t["duration"] = t.get("duration", 0) or t["ticks"]
+
+
 def sample_bytes(data: bytes, track: dict) -> bytes:
     """All samples of a track in order; adjoining ranges are read as one."""
     starts, sizes = track["starts"], track["sizes"]
@@ -167,48 +252,99 @@ def sample_bytes(data: bytes, track: dict) -> bytes:
     return b"".join(view[starts[a] : starts[b] + sizes[b]] for a, b in zip(lows, highs))
 
 
-def keyframe_ranges(track: dict) -> list[tuple[int, int]]:
-    """(first byte, bytes) of every sync sample in the file."""
-    return [(int(track["starts"][k]), int(track["sizes"][k])) for k in track["keys"]]
+def keyframe_ranges(track: dict) -> list[dict]:
+    """First byte and bytes of every sync sample in the file."""
+    keys = track["keys"]
+    return [{"start": a, "bytes": n} for a, n in zip(track["starts"][keys].tolist(), track["sizes"][keys].tolist())]
+
+
+def seconds_of(track: dict) -> float | None:
+    return track["duration"] / track["timescale"] if track["timescale"] else None
 
 
 def describe(track: dict) -> str:
     """Codec, duration and keyframe ranges as one line."""
     keys = keyframe_ranges(track)
-    digest = hashlib.sha256(repr(keys).encode()).hexdigest()[:16]
-    seconds = track["duration"] / track["timescale"]
-    return f"{track['handler']}/{track['codec']};{seconds:.6f}s;{len(track['sizes'])} samples;{len(keys)} keyframes;{digest}"
+    digest = hashlib.sha256(repr([(k["start"], k["bytes"]) for k in keys]).encode()).hexdigest()[:16]
+    return f"{track['handler']}/{track['codec']};{seconds_of(track):.6f}s;{len(track['sizes'])} samples;{len(keys)} keyframes;{digest}"
+
+
+RANGES = pa.list_(pa.struct([("start", pa.int64()), ("bytes", pa.int64())]))
+TRACK_SCHEMA = "track int, handler string, codec string, seconds double, samples long, keyframes array<struct<start:long,bytes:long>>, problem string"
+
+
+def describe_media(files: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
+    """The tracks of a binary column of files, one row each: their number from 1, handler, codec, seconds, samples and keyframe byte ranges.
+
+    ``key`` is carried along; other columns are not. What can't be read gives one row
+    without a track and says so in ``problem``: a null, a file without a track, one that
+    is cut off or no ISO media file. Repeated rows give repeated results. Narrow: one
+    pass; a payload is never decoded.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            owners, rows = [], []
+            for k, data in enumerate(batch.column(1)):
+                found = list(_rows(data.as_buffer() if data.is_valid else None))
+                owners += [k] * len(found)
+                rows += found
+            columns = [pa.array(c, type=t) for c, t in zip(zip(*rows) if rows else [[]] * 7, types)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners, pa.int64())), *columns], [key, *names])
+
+    names = ["track", "handler", "codec", "seconds", "samples", "keyframes", "problem"]
+    types = [pa.int32(), pa.string(), pa.string(), pa.float64(), pa.int64(), RANGES, pa.string()]
+    kind = files.schema[key].dataType.simpleString()
+    return files.select(key, media).mapInArrow(run, f"`{key}` {kind}, {TRACK_SCHEMA}")
+
+
+def _rows(data) -> Iterator[tuple]:
+    if data is None:
+        yield None, None, None, None, None, None, "null"
+        return
+    try:
+        tracks = read_tracks(memoryview(data))
+    except (ValueError, KeyError, IndexError, struct.error) as problem:
+        yield None, None, None, None, None, None, f"unreadable: {problem}"
+        return
+    if not tracks:
+        yield None, None, None, None, None, None, "no track"
+    for k, t in enumerate(tracks, 1):
+        yield k, t.get("handler"), t.get("codec"), seconds_of(t), len(t["sizes"]), keyframe_ranges(t), None
 
 
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def store_media(docs: DataFrame, with_file: bool = False) -> DataFrame:
+def store_media(docs: DataFrame, with_file: bool = False, with_keyframes: bool = False) -> DataFrame:
     """Store every text as an ISO media file, read it back and give its features.
 
     Null and empty texts give a payload of one frame of padding. Repeated rows
-    give repeated results; other columns of ``docs`` are not carried. With
-    ``with_file`` the container itself and its keyframe ranges follow as columns
-    ``media`` and ``keyframes``. Narrow: one pass, one text in memory at a time.
+    give repeated results; other columns of ``docs`` are not carried. Columns that
+    may follow: ``codec``, ``seconds`` and ``keyframes`` (byte ranges), and the container
+    itself as ``media``. Narrow: one pass, one text in memory at a time.
     """
-    small_batches(docs.sparkSession)
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             out = {name: [] for name in names}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                raw = bytes(text.as_buffer()) if text.is_valid else b""
                 media = write_container(padded(raw))
                 (track,) = read_tracks(media)
                 back = sample_bytes(media, track)
                 row = (doc_id, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), describe(track))
-                for name, value in zip(names, (*row, media, keyframe_ranges(track)) if with_file else row):
+                row += (track["codec"], seconds_of(track), keyframe_ranges(track)) if with_keyframes else ()
+                for name, value in zip(names, (*row, media) if with_file else row):
                     out[name].append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[n], type=t) for n, t in zip(names, types)], names)
 
-    schema = SCHEMA + (", media binary, keyframes array<struct<start:long,bytes:long>>" if with_file else "")
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    schema = SCHEMA
+    if with_keyframes:
+        names, types = [*names, "codec", "seconds", "keyframes"], [*types, pa.string(), pa.float64(), RANGES]
+        schema += ", codec string, seconds double, keyframes array<struct<start:long,bytes:long>>"
     if with_file:
-        names, types = [*names, "media", "keyframes"], [*types, pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("bytes", pa.int64())]))]
+        names, types, schema = [*names, "media"], [*types, pa.binary()], schema + ", media binary"
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(store, schema)

@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from ..session import shared_checkpoint
 from .bpe import loaded
-from .common import small_batches
 
 WINDOW = 1024
 END_ID = 0
@@ -108,21 +107,48 @@ class Places:
         return sequence, offset
 
 
+class Cutter:
+    """Pieces of one document's ids as they come: at most a window each, the end id last."""
+
+    def __init__(self, window: int, end_id: int, keep: bool):
+        self.window, self.keep = window, keep
+        self.end = np.array([end_id], dtype="<u4")
+        self.start, self.rest, self.rows = 0, self.end[:0], []
+
+    def feed(self, ids: np.ndarray) -> None:
+        self.rest = np.concatenate([self.rest, ids])
+        whole = len(self.rest) - len(self.rest) % self.window
+        for k in range(0, whole, self.window):
+            self._piece(self.rest[k : k + self.window])
+        self.rest = self.rest[whole:]
+
+    def _piece(self, piece: np.ndarray) -> None:
+        self.rows.append((self.start, len(piece), zlib.crc32(piece.tobytes()), *([piece.tolist()] if self.keep else ())))
+        self.start += len(piece)
+
+    def finish(self) -> tuple[int, list[tuple]]:
+        """Ids of the document and its pieces: (start, length, checksum[, ids])."""
+        self.feed(self.end)
+        if len(self.rest):
+            self._piece(self.rest)
+        return self.start, self.rows
+
+
 def cut_pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Encode whole texts and cut the ids at every ``window``: one row a piece."""
-    small_batches(docs.sparkSession, 2048)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, memo, _ = loaded(vocabulary)
-        end = np.array([end_id], dtype="<u4")
+        _, transducer, _ = loaded(vocabulary)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), memo.encode(texts)):
-                ids = np.concatenate([ids, end])
-                for start in range(0, len(ids), window):
-                    piece = ids[start : start + window]
-                    rows.append((doc_id, start, len(piece), zlib.crc32(piece), len(ids), *([piece.tolist()] if with_ids else ())))
+            rows, cutter = [], None
+            for part, k, ids, end in transducer.rows(batch, 1):
+                cutter = cutter or Cutter(window, end_id, with_ids)
+                cutter.feed(ids)
+                if end:
+                    doc_id = part.column(0)[k].as_py()
+                    total, found = cutter.finish()
+                    rows += [(doc_id, start, length, crc, total, *more) for start, length, crc, *more in found]
+                    cutter = None
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names)
 
     names, types = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"], [pa.int64()] * 5

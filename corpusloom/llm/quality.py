@@ -18,11 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from .common import WordTable, char_ngrams, keep_rows, labelled_sample, small_batches
+from .common import WordTable, char_ngrams, keep_rows, labelled_sample, slices, text_parts
 
 BUCKETS, DIMENSION = 1 << 16, 12
 LOW, HIGH = 2, 4
-MAX_ROWS, MAX_CHARS = 3000, 100_000
+#: The training sample: labelled documents, and characters of all their texts.
+MAX_ROWS, MAX_CHARS = 3000, 10_000_000
+#: Longer texts are scored in parts of about so many characters.
+PART_CHARS = 1 << 20
 EPOCHS, RATE, SEED = 4, 0.5, 7
 #: Longer tokens are cut up for their n-grams, so that one token can't fill memory.
 TOKEN_CHARS = 64
@@ -44,18 +47,17 @@ class QualityModel:
         sums = np.concatenate([np.zeros((1, values.shape[1])), np.cumsum(values, axis=0)])
         return np.column_stack([sums[indptr[1:]] - sums[indptr[:-1]], np.diff(indptr)])
 
-    def probability(self, rows: np.ndarray) -> float:
-        """Softmax probability of class 1 for a document's token rows."""
-        total = rows.sum(axis=0)
+    def probability(self, total: np.ndarray) -> float:
+        """Softmax probability of class 1 for the sum of a document's token rows."""
         z = total[:-1] / max(total[-1], 1.0) + self.bias
         e = np.exp(z - z.max())
         return float(e[1] / e.sum())
 
 
-def tokens_of(text: str) -> list[str]:
-    """White-space tokens, repeats marked, long ones cut into pieces."""
+def tokens_of(text: str, before: str | None = None) -> list[str]:
+    """White-space tokens, repeats marked (also of the token ``before``), long ones cut into pieces."""
     words = text.split()
-    out = [REPEAT if a == b else a for a, b in zip(words, [None, *words])]
+    out = [REPEAT if a == b else a for a, b in zip(words, [before, *words])]
     if max(map(len, out), default=0) > TOKEN_CHARS:
         out = [w[k : k + TOKEN_CHARS] for w in out for k in range(0, len(w), TOKEN_CHARS)]
     return out
@@ -110,7 +112,7 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray) -> QualityModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, condition: Column, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> QualityModel:
-    """Learn from at most ``max_rows`` labelled documents that meet ``condition``."""
+    """Learn from at most ``max_rows`` labelled documents of ``max_chars`` characters in all that meet ``condition``."""
     return train(*labelled_sample(docs, labels, "quality", condition, max_rows, max_chars))
 
 
@@ -120,13 +122,11 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     Null and empty texts get what the bias says; repeated rows give repeated
     results; other columns are not carried. Narrow: one pass over whole texts.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rate = scorer(shared.value)
-        for batch in batches:
+        for batch in slices(batches, 1):
             scores = rate([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, type=pa.float64())], ["doc_id", "score"])
 
@@ -137,10 +137,20 @@ def scorer(model: QualityModel):
     """A function from texts to their scores, with the tokens seen so far scored once."""
     memo = WordTable(model.token_rows, 3)
 
+    def long(text: str) -> np.ndarray:
+        total, last = np.zeros(3), None
+        for part in text_parts(text, PART_CHARS):
+            tokens = tokens_of(part, last)
+            memo.learn([tokens])
+            total += memo.rows[memo.of(tokens)].sum(axis=0)
+            last = next(reversed(part.split()), last)
+        return total
+
     def rate(texts: list[str]) -> list[float]:
-        docs = [tokens_of(t) for t in texts]
-        memo.learn(docs)
-        return [model.probability(memo.rows[memo.of(d)]) for d in docs]
+        docs = [tokens_of(t) if len(t) <= PART_CHARS else None for t in texts]
+        totals = [long(t) if d is None else None for t, d in zip(texts, docs)]
+        memo.learn([d for d in docs if d is not None])
+        return [model.probability(memo.rows[memo.of(d)].sum(axis=0) if d is not None else total) for d, total in zip(docs, totals)]
 
     return rate
 

@@ -69,7 +69,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.store_media(table(spark, sf_dir, "documents"))
+    return media.store_media(table(spark, sf_dir, "documents"), with_keyframes=True)
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +101,7 @@ def _url_sql() -> str:
         fits[rule] = f"((host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{slash}{tail}'))"
     rule_case = " ".join(f"WHEN {fits[r]} THEN '{r}'" for _, r in rules)
     act_case = " ".join(f"WHEN rule = '{r}' THEN '{a}'" for a, r in rules)
-    near = lambda term: f"regexp_matches(lower(url), '(^|[^a-z0-9]){term}([^a-z0-9]|$)')"
+    near = lambda term: f"regexp_matches(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(^|[^a-z0-9]){term}([^a-z0-9]|$)')"
     strict = " OR ".join(near(t) for t in urlfilter.STRICT_TERMS)
     soft = " + ".join(f"CAST({near(t)} AS INT)" for t in urlfilter.SOFT_TERMS)
     return f"""

@@ -17,15 +17,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from .common import WordTable, char_ngrams, keep_rows, labelled_sample, small_batches
+from .common import WordTable, char_ngrams, keep_rows, labelled_sample, slices, text_parts
 
-#: Words, and what ends a sentence.
-TOKENS = re.compile(r"\w+|[.!?\n]+")
+#: Words (long ones cut), and the last character of what ends a sentence.
+TOKENS = re.compile(r"\w{1,64}|[.!?\n](?![.!?\n])")
 ENDERS = frozenset(".!?\n")
 BUCKETS = 1 << 18
 LOW, HIGH = 4, 7
-#: The training sample: labelled documents, and characters of each.
-MAX_ROWS, MAX_CHARS = 3000, 100_000
+#: The training sample: labelled documents, and characters of all their texts.
+MAX_ROWS, MAX_CHARS = 3000, 10_000_000
+#: Longer texts are judged in parts of about so many characters.
+PART_CHARS = 1 << 20
 #: A feature needs this many documents of the sample; L1 keeps few of the rest.
 LEAST_DOCUMENTS = 3
 #: The L1 penalty weighs as much as this part of one document.
@@ -69,13 +71,36 @@ class Judge:
         self.bias, self.memo = model.bias, WordTable(model.word_scores, 1)
 
     def logits(self, texts: list[str]) -> Iterator[np.ndarray]:
-        tokens = bags(texts)
+        """Logits of the sentences of each text, in order; a text without words has one, the bias."""
+        short = [t for t in texts if len(t) <= PART_CHARS]
+        tokens = bags(short)
         self.memo.learn(tokens)
-        for words in tokens:
-            if words:
-                yield self.bias + np.bincount(sentences(words), weights=self.memo.rows[self.memo.of(words), 0])
+        known = iter(tokens)
+        for text in texts:
+            if len(text) <= PART_CHARS:
+                words = next(known)
+                sums = self._sums(words) if words else np.zeros(1)
             else:
-                yield np.array([self.bias])
+                sums = self._long(text)
+                self.memo.learn(tokens)  # the table may have been emptied
+            yield self.bias + sums
+
+    def _sums(self, words: list[str]) -> np.ndarray:
+        return np.bincount(sentences(words), weights=self.memo.rows[self.memo.of(words), 0])
+
+    def _long(self, text: str) -> np.ndarray:
+        """The same part by part; the sentence that a part leaves open goes on in the next."""
+        sums, open_end = [], False
+        for part in text_parts(text, PART_CHARS):
+            (words,) = bags([part])
+            if words:
+                self.memo.learn([words])
+                found = self._sums(words)
+                if open_end:
+                    found[0] += sums.pop()
+                sums += found.tolist()
+                open_end = words[-1] not in ENDERS
+        return np.array(sums) if sums else np.zeros(1)
 
 
 def noisy_or(logits: np.ndarray) -> float:
@@ -144,7 +169,7 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray) -> ToxicityModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, condition: Column, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> ToxicityModel:
-    """Learn from at most ``max_rows`` labelled documents that meet ``condition``."""
+    """Learn from at most ``max_rows`` labelled documents of ``max_chars`` characters in all that meet ``condition``."""
     return train(*labelled_sample(docs, labels, "toxic", condition, max_rows, max_chars))
 
 
@@ -156,13 +181,11 @@ def score(docs: DataFrame, model: ToxicityModel, spans: bool = False, offends: f
     sentence of probability ``offends`` or more. Repeated rows give repeated
     results. Narrow: one pass over whole texts.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(shared.value)
-        for batch in batches:
+        for batch in slices(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             rows = []
             for doc_id, text, z in zip(batch.column(0).to_pylist(), texts, judge.logits(texts)):

@@ -16,11 +16,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Production vocabulary: URL words of adult, gambling, drug-selling and spam sites.
-STRICT_TERMS = ("adult", "casino", "porn", "pills", "spam", "viagra", "xxx")
-SOFT_TERMS = ("bets", "bonus", "cheap", "click", "deal", "farm", "free", "loan", "prize", "sale", "win", "winner")
+#: Production vocabulary: URL words of adult, gambling, drug-selling and spam sites. ``load_terms`` reads a longer one.
+STRICT_TERMS = (
+    "adult", "blackjack", "camgirl", "camgirls", "casino", "casinos", "cialis", "erotic", "escort", "escorts", "hardcore", "hentai",
+    "milf", "nsfw", "nude", "nudes", "phentermine", "pills", "porn", "porno", "pornstar", "roulette", "sexcam", "spam", "tramadol",
+    "viagra", "warez", "xanax", "xxx",
+)
+SOFT_TERMS = (
+    "bet", "bets", "betting", "bingo", "bonus", "buy", "cash", "cheap", "click", "coupon", "coupons", "crack", "deal", "deals", "discount",
+    "farm", "free", "gamble", "jackpot", "keygen", "loan", "loans", "lottery", "naked", "payday", "pharmacy", "poker", "prize", "promo",
+    "replica", "sale", "sex", "sexy", "slots", "torrent", "win", "winner",
+)
 #: Distinct soft terms that reject a URL.
 SOFT_LIMIT = 2
+#: Terms that a loaded vocabulary may have: the automaton goes to every executor.
+MAX_TERMS = 200_000
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+FOLD = str.maketrans(UPPER, LOWER)
 
 #: (action, rule); a rule is host, slash, path.
 RULES = (
@@ -35,7 +47,7 @@ RULES = (
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased."""
     rest = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
-    return F.coalesce(F.translate(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
+    return F.coalesce(F.translate(rest, UPPER, LOWER), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
@@ -63,6 +75,19 @@ def automaton(strict: tuple[str, ...], soft: tuple[str, ...]) -> ahocorasick.Aut
     return found
 
 
+def load_terms(terms: DataFrame, most: int = MAX_TERMS) -> tuple[list[str], list[str]]:
+    """Strict and soft terms of a vocabulary table (term, weight): weight 1 or more is strict, above 0 soft.
+
+    A-Z are lower-cased; null, empty and weightless terms are left out; a term that
+    comes more than once has its greatest weight. More than ``most`` terms are an error.
+    """
+    named = terms.select(F.translate("term", UPPER, LOWER).alias("term"), "weight").where("term <> '' and weight > 0")
+    rows = named.groupBy("term").agg(F.max("weight").alias("weight")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a vocabulary of more than {most} terms is too large to send out")
+    return sorted(r["term"] for r in rows if r["weight"] >= 1), sorted(r["term"] for r in rows if r["weight"] < 1)
+
+
 def _inside(text: str, at: int) -> bool:
     return 0 <= at < len(text) and text[at].isascii() and text[at].isalnum()
 
@@ -93,23 +118,27 @@ def judge_urls(
     A fitting rule decides; else one strict or ``soft_limit`` distinct soft hits
     block. Null URLs and those without ``://`` have an empty host and path and no
     rule, and the vocabulary judges what text there is (none: allow). Columns of
-    the input that have one of the new names are replaced. Without strict and
-    soft terms nothing is hit. No shuffle: one narrow pass over the URL column.
+    the input that have one of the new names are replaced; all others stay, whatever
+    their names. Only A-Z count as upper case. Without strict and soft terms nothing is
+    hit. No shuffle: one narrow pass over the URL column.
     """
     strict, soft = tuple(sorted(set(strict))), tuple(sorted(set(soft)))
 
     def hits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for urls in batches:
-            rows = [term_hits(u.lower(), strict, soft) if isinstance(u, str) and (strict or soft) else (0, 0) for u in urls]
+            rows = [term_hits(u.translate(FOLD), strict, soft) if isinstance(u, str) and (strict or soft) else (0, 0) for u in urls]
             yield pd.DataFrame(rows, columns=["strict_hits", "soft_hits"], dtype="int32")
 
     count = F.pandas_udf(hits, "strict_hits int, soft_hits int")
     action, rule = matching_rule(F.col("host"), F.col("path"), rules)
     vocabulary = F.when((F.col("strict_hits") > 0) | (F.col("soft_hits") >= soft_limit), "block").otherwise("allow")
+    hit = "_hits"
+    while hit in pages.columns:
+        hit += "_"
     return (
-        pages.withColumn("_hits", count(F.col(url)))
+        pages.withColumn(hit, count(F.col(url)))
         .withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-        .withColumns({"strict_hits": F.col("_hits.strict_hits"), "soft_hits": F.col("_hits.soft_hits")})
+        .withColumns({"strict_hits": F.col(f"{hit}.strict_hits"), "soft_hits": F.col(f"{hit}.soft_hits")})
         .withColumns({"rule": rule, "verdict": F.coalesce(action, vocabulary)})
-        .drop("_hits")
+        .drop(hit)
     )

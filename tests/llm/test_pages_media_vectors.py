@@ -5,6 +5,7 @@ import html as entities
 import os
 import re
 import struct
+import time
 import zlib
 
 import duckdb
@@ -41,10 +42,24 @@ def test_url_rules_and_terms(spark):
     rows = spark.createDataFrame([(k, u, "mine") for k, u in enumerate(cases)], "page_id long, url string, host string")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.judge_urls(rows).collect()}
     assert got == dict(enumerate(cases.values()))
+    clash = rows.withColumn("_hits", F.lit("kept"))
+    assert {r["_hits"] for r in urlfilter.judge_urls(clash).collect()} == {"kept"}
     assert urlfilter.judge_urls(rows.limit(0)).count() == 0
     assert urlfilter.judge_urls(rows, strict=(), soft=()).where("strict_hits > 0").count() == 0
 
 
+def test_only_ascii_is_folded_and_a_vocabulary_is_loaded(spark):
+    urls = ["http://a.org/PORN", "http://a.org/\u212aino", "http://a.org/kino-film", "http://a.org/kino/film", "http://a.org/one"]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    terms = spark.createDataFrame([("Kino", 0.5), ("FILM", 0.2), ("one", 2.0), ("one", 0.1), ("", 1.0), (None, 1.0), ("nil", 0.0), ("kino", None)], "term string, weight double")
+    strict, soft = urlfilter.load_terms(terms)
+    assert (strict, soft) == (["one"], ["film", "kino"])
+    got = {r["page_id"]: (r["strict_hits"], r["soft_hits"], r["verdict"]) for r in urlfilter.judge_urls(rows, strict=strict, soft=soft).collect()}
+    assert got == {0: (0, 0, "allow"), 1: (0, 0, "allow"), 2: (0, 2, "block"), 3: (0, 2, "block"), 4: (1, 0, "block")}
+    with pytest.raises(ValueError):
+        urlfilter.load_terms(terms, most=2)
+
+
 # ---- pages
 
 
@@ -108,6 +123,36 @@ def test_names_lower_the_importance(spark):
     assert {(r["url"][7], r["page_id"]): r["text"] for r in got} == {(h, k): f"text {k}" + (f"\nnote {k % 6}" if h == "b" else "") for h in "ab" for k in range(40)}
 
 
+@pytest.mark.parametrize("source,text", [
+    ("<p data-id='menu-7'>a</p><p data-role=banner>b</p><p title='x class=menu '>c</p>", "a\nb\nc"),
+    ("<p data-x=\"a>b\" class='t'>c</p><p class='menu'>m</p>", "c"), ("a<b", "a"), ("<p>text <a href='http://cut", "text"), ("<p title=\"open>text</p>more", "text\nmore"),
+])
+def test_attributes_are_parsed(source, text):
+    assert html_extract.Page(source).text() == text
+
+
+HARD = {
+    "unfinished": "<a " * 66_000, "quotes": '<a href="' * 22_000, "nested": "<div>" * 40_000 + "x", "articles": "<article>x" * 20_000, "forms": "<form><p>t" * 20_000,
+    "formatting": "<p><b>x" * 28_000, "comments": "<!-- " * 40_000, "sections": "<![CDATA[" * 22_000, "lists": "<ul><li>x" * 22_000, "titles": "<title>" * 28_000, "inline": "<p>" + "<b>x</b>" * 25_000,
+    "odd quotes": "<b \"x\" ' >" * 18_000, "script ends": "<script>" + "</script " * 22_000, "references": "&" * 200_000, "attributes": "<a " + "x " * 100_000 + ">t", "angles": "<" * 200_000,
+}
+
+
+@pytest.mark.parametrize("name", HARD)
+def test_pages_take_linear_time(name):
+    """200 KB of the worst in a few seconds at most: twice the page takes about twice the time."""
+
+    def seconds(source):
+        start = time.process_time()
+        page = html_extract.Page(source)
+        page.features()
+        page.text({1: 0.1})
+        return time.process_time() - start
+
+    assert len(HARD[name]) >= 180_000
+    assert seconds(HARD[name]) < (1 if name in ("unfinished", "quotes") else 8)
+
+
 def test_deep_and_long_pages():
     assert html_extract.Page("<div>" * 3000 + "x").text() == "x"
     assert len(html_extract.Page("<p>word</p>" * 20_000).text().split("\n")) == 20_000
@@ -169,7 +214,7 @@ def test_container_round_trip(size):
     (track,) = media.read_tracks(data)
     assert media.sample_bytes(data, track) == payload and track["codec"] == "raw "
     assert track["duration"] == track["ticks"] == len(payload)
-    for k, (start, length) in enumerate(media.keyframe_ranges(track)):
+    for k, (start, length) in enumerate((r["start"], r["bytes"]) for r in media.keyframe_ranges(track)):
         at = k * media.FRAMES_A_KEY * media.FRAME_BYTES
         assert data[start : start + length] == payload[at : at + length]
 
@@ -195,6 +240,58 @@ def test_foreign_layouts_are_read():
         media.read_tracks(data[:-3][: len(ftyp) + 20])
 
 
+def fragmented():
+    """An initial part without samples, and two fragments: three samples by defaults, two of sizes of their own."""
+    matrix = bytes(36)
+    tkhd = media.full_box(b"tkhd", struct.pack(">5I", 0, 0, 7, 0, 0), bytes(16), matrix, bytes(8))
+    stbl = media.box(b"stbl", media.full_box(b"stsd", struct.pack(">I", 1), media.box(b"avc1", bytes(8))), media.full_box(b"stz2", bytes([0, 0, 0, 4]), struct.pack(">I", 0)))
+    mdia = media.box(b"mdia", media.full_box(b"mdhd", struct.pack(">IIIIHH", 0, 0, 10, 0, 0, 0)), media.full_box(b"hdlr", bytes(4), b"vide"), media.box(b"minf", stbl))
+    trex = media.full_box(b"trex", struct.pack(">5I", 7, 1, 5, 4, 0x10000))
+    data = media.box(b"ftyp", b"iso5") + media.box(b"moov", media.box(b"trak", tkhd, mdia), media.box(b"mvex", trex))
+
+    def fragment(trun, payload):
+        part = lambda offset: media.box(b"moof", media.box(b"traf", media.full_box(b"tfhd", struct.pack(">I", 7), flags=0x20000), trun(offset)))
+        return part(len(part(0)) + 8) + media.box(b"mdat", payload)
+
+    data += fragment(lambda at: media.full_box(b"trun", struct.pack(">IiI", 3, at, 0), flags=0x5), b"aaaabbbbcccc")
+    data += fragment(lambda at: media.full_box(b"trun", struct.pack(">Ii4I", 2, at, 2, 0, 3, 0x10000), flags=0x601), b"ddeee")
+    return data
+
+
+def test_media_columns_are_described(spark):
+    data = fragmented()
+    (track,) = media.read_tracks(data)
+    assert media.sample_bytes(data, track) == b"aaaabbbbccccddeee" and track["keys"].tolist() == [0, 3] and track["ticks"] == 25
+    files = [(1, data), (2, None), (3, b""), (4, b"no media at all"), (5, data[:-3]), (6, media.write_container(media.padded(b"x" * 9000))), (6, media.box(b"moov", media.box(b"trak")))]
+    got = media.describe_media(spark.createDataFrame([(*f, "x") for f in files], "doc_id long, media binary, codec string")).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["track"], r["codec"], r["samples"]) for r in got[:5]] == [(1, 1, "avc1", 5), (2, None, None, None), (3, None, None, None), (4, None, None, None), (5, None, None, None)]
+    assert got[0]["seconds"] == 2.5 and [data[k["start"] : k["start"] + k["bytes"]] for k in got[0]["keyframes"]] == [b"aaaa", b"dd"] and got[0]["problem"] is None
+    assert got[1]["problem"] == "null" and got[2]["problem"] == "no track" and all("unreadable" in r["problem"] for r in got[3:5])
+    assert sorted((r["codec"] or "", r["samples"]) for r in got[5:]) == [("", 0), ("raw ", 16)]
+    assert [media.read_tracks(media.box(b"moov", media.box(b"trak", media.box(b"mdia", media.box(b"minf", media.box(b"stbl", media.full_box(b"stz2", bytes([0, 0, 0, bits]), struct.pack(">I", 3), raw), media.full_box(b"stsc", struct.pack(">4I", 1, 1, 3, 1)), media.full_box(b"stco", struct.pack(">2I", 1, 0))))))))[0]["sizes"].tolist() for bits, raw in ((4, b"\x12\x30"), (8, b"\1\2\3"), (16, b"\0\1\0\2\0\3"))] == [[1, 2, 3]] * 3
+
+
+def plain_layout(payload):
+    """What the container of a payload must say, from its sizes alone."""
+    frames = len(payload) // 576
+    keys = list(range(0, frames, media.FRAMES_A_KEY))
+    return frames, len(payload) / media.SAMPLE_RATE, keys
+
+
+def test_media_query_features(spark):
+    """feature, media_bytes and media_sha256 against the stored file itself, keyframes against the payload."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    files = {r["doc_id"]: bytes(r["media"]) for r in media.store_media(docs, with_file=True).collect()}
+    texts = {r["doc_id"]: r["text"].encode() for r in docs.collect()}
+    for r in Q.op9_media(spark, DATA).collect():
+        data, payload = files[r["doc_id"]], media.padded(texts[r["doc_id"]])
+        frames, seconds, keys = plain_layout(payload)
+        at = data.index(b"mdat") + 4
+        assert data[at:] == payload and r["media_bytes"] == len(data) and r["media_sha256"] == hashlib.sha256(data).hexdigest()
+        assert [(k["start"], k["bytes"]) for k in r["keyframes"]] == [(at + 576 * k, 576) for k in keys]
+        assert r["feature"].startswith(f"soun/raw ;{seconds:.6f}s;{frames} samples;{len(keys)} keyframes;") and r["seconds"] == seconds
+
+
 def test_media_query(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     for r in Q.op9_media(spark, DATA).collect():
@@ -205,7 +302,7 @@ def test_media_query(spark):
 
 def test_media_edge_rows(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "é" * 5000, "x"), (3, "é" * 5000, "x"), (None, "a", "x")], "doc_id long, text string, feature string")
-    rows = media.store_media(docs, with_file=True).collect()
+    rows = media.store_media(docs, with_file=True, with_keyframes=True).collect()
     assert len(rows) == 5 and {r["payload_bytes"] for r in rows if r["doc_id"] in (1, 2)} == {576}
     assert len({r["media_sha256"] for r in rows if r["doc_id"] == 3}) == 1 and all(r["keyframes"] for r in rows)
     assert media.store_media(docs.limit(0)).count() == 0
@@ -249,6 +346,14 @@ def test_neighbour_edge_rows(spark):
     assert ann.nearest(vectors.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_huge_components_and_repeated_queries(spark):
+    """Squares beyond the doubles; a query id with two vectors is searched with the least."""
+    big = 1e300
+    rows = [(0, [big, 0.0]), (0, [3 * big, 0.0]), (1, [2 * big, 0.0]), (2, [big, big / 4])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(2, pytest.approx(big / 4)), (1, pytest.approx(big))]
+
+
 def test_search_verifies_all_that_a_wide_window_covers():
     rng = np.random.default_rng(1)
     for n in (1, 3, 12, 300):

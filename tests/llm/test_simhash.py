@@ -62,11 +62,9 @@ def flip(rng, fp, n):
     return fp
 
 
-@pytest.mark.parametrize("hot,block", [(100, 2048), (3, 5)])
-def test_links_connect_what_brute_force_connects(spark, monkeypatch, hot, block):
-    """Random neighbourhoods, chains at the limit and one crowded group, with and without blocks."""
-    monkeypatch.setattr(simhash, "HOT_KEY", hot)
-    monkeypatch.setattr(simhash, "BLOCK", block)
+@pytest.mark.parametrize("hot,full", [(100, 4096), (3, 1000), (3, 5)])
+def test_links_connect_what_brute_force_connects(spark, hot, full):
+    """Random neighbourhoods, chains at the limit and one crowded group, with and without longer keys."""
     rng = np.random.default_rng(hot)
     prints = [0, (1 << 64) - 1, 1]
     for _ in range(60):
@@ -81,7 +79,7 @@ def test_links_connect_what_brute_force_connects(spark, monkeypatch, hot, block)
     want = brute_components(dict(enumerate(prints)))
     signed = [int(np.uint64(p).astype(np.int64)) for p in prints]
     number = {s: k for k, s in enumerate(signed)}
-    edges = [(number[r["u"]], number[r["v"]]) for r in simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long")).collect()]
+    edges = [(number[r["u"]], number[r["v"]]) for r in simhash.links(spark.createDataFrame([(s,) for s in signed], "fp long"), hot, full).collect()]
     assert all((prints[a] ^ prints[b]).bit_count() <= 4 for a, b in edges)
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert {k: got.get(k, k) for k in want} == want
@@ -91,7 +89,7 @@ def test_spanning_links_are_a_forest():
     import pandas as pd
 
     fps = np.arange(16, dtype=np.int64) << 52  # all within four bits of each other, in the last segment of the chain
-    pdf = pd.DataFrame({"key": 0, "fp": np.concatenate([fps, fps]), "side": [0] * 16 + [1] * 16})
+    pdf = pd.DataFrame({"start": 0, "key": 0, "fp": np.concatenate([fps, fps]), "side": [0] * 16 + [1] * 16})
     assert len(simhash.spanning_links(pdf)) == 15
 
 
@@ -110,4 +108,25 @@ def test_edge_rows(spark):
     assert {c for i, _, c in got if i in (3, 5, 9)} == {3} and {f for i, f, _ in got if i in (3, 5, 9)} == {"0" * 16}
     assert {c for i, _, c in got if i in (2, 4, -1)} == {2}
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
-    assert {r["doc_id"] for r in simhash.duplicates(docs).collect()} == {5, 9, 4}
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [2, 3, 7]
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Repeated and null ids: rows are told apart by their fingerprints, no text is lost."""
+    rows = [(1, "a b c d"), (2, "a b c d"), (2, "another text"), (5, "third one"), (5, "third one"), (None, "fourth"), (None, "fourth"), (None, "fifth"), (None, "a b c d"), (7, None), (7, ""), (6, "x y")]
+    docs = spark.createDataFrame([(i, t, str(k)) for k, (i, t) in enumerate(rows)], "doc_id int, text string, _id string")
+    kept = simhash.keep_one(docs)
+    got = kept.collect()
+    assert kept.columns == docs.columns and kept.schema["doc_id"] == docs.schema["doc_id"]
+    assert sorted(((r["doc_id"] or -1, r["text"] or "") for r in got)) == [(-1, "fifth"), (-1, "fourth"), (1, "a b c d"), (2, "another text"), (5, "third one"), (6, "x y"), (7, "")]
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_heavy_keys_are_joined_where_they_lie(spark):
+    rows = spark.range(500).select(F.when(F.col("id") < 300, 1).otherwise(F.col("id")).alias("k"), "id")
+    facts = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    got = components.join_weighted(rows, facts, "k", "n", 500)
+    assert sorted((r["k"], r["id"], r["top"]) for r in got.collect()) == sorted((1 if i < 300 else i, i, 299 if i < 300 else i) for i in range(500))
+    star = [(0, k) for k in range(1, 400)] + [(k, 1000 + k) for k in range(1, 200)]
+    found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(star, "u long, v long")).collect()}
+    assert found == {x: 0 for edge in star for x in edge}

@@ -1,6 +1,8 @@
 """Toxicity, quality and language: held-out accuracy, edge cases, defined results."""
 
 import os
+import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -12,7 +14,7 @@ from corpusloom.llm.common import char_ngrams
 
 DATA = os.environ.get("TEST_LLM_SF_DIR", "/root/testdata/sf0.01")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-EDGES = [(1, None), (2, ""), (3, " \n "), (4, "a" * 50_000), (5, "x " * 30_000), (6, "same"), (6, "same"), (None, "no id"), (7, "!!!...\n\n"), (8, "١٢٣ 中文 é")]
+EDGES = [(1, None), (2, ""), (3, " \n "), (4, "a" * 50_000), (5, "x " * 30_000), (6, "same"), (6, "same"), (None, "no id"), (7, "!!!...\n\n"), (8, "١٢٣ 中文 é"), (9, "½ ² Ⅷ ① ٣ _ 12")]
 
 
 def edge_docs(spark):
@@ -71,7 +73,7 @@ def test_edge_rows(spark):
         assert len({r["score"] for r in rows if r["doc_id"] == 6}) == 1
     model = langid.train(["hello there"] * 10 + ["hola amigo"] * 10, ["en"] * 10 + ["es"] * 10, np.ones(langid.BUCKETS), 20)
     got = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
-    assert all(got[k]["lang_pred"] == "und" and got[k]["score"] == 0 for k in (1, 2, 3, 7))
+    assert all(got[k]["lang_pred"] == "und" and got[k]["score"] == 0 for k in (1, 2, 3, 7, 9))
     assert got[4]["lang_pred"] in ("en", "es")
 
 
@@ -116,12 +118,132 @@ def test_sample_is_bounded_and_the_fold_unseen(spark):
     labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
     from corpusloom.llm.common import fold, labelled_sample
 
-    texts, y, w = labelled_sample(docs, labels, "toxic", fold(F.col("doc_id"), 5) != 0, 40, 100)
+    texts, y, w = labelled_sample(docs, labels, "toxic", fold(F.col("doc_id"), 5) != 0, 40, 1000)
     assert len(texts) == 40 and y.sum() == 20
     assert all(zlib.crc32(t.split()[1].encode()) % 5 for t in texts)
     assert (w * y).sum() / w.sum() == pytest.approx(1 / 3, abs=0.03)
 
 
+def test_sample_is_taken_among_the_documents_at_hand(spark):
+    """Labels of other documents take no place; long texts teach; a repeated id has one text."""
+    from corpusloom.llm.common import labelled_sample
+
+    labels = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    rows = [(k, f"text {k}") for k in range(2990, 3000)] + [(2990, "another"), (None, "none"), (2980, "long " * 50_000), (2981, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    texts, y, _ = labelled_sample(docs, labels, "toxic", F.lit(True), 40, 600_000)
+    assert len(texts) == 11 and y.sum() == 5 and max(map(len, texts)) == 250_000
+    assert len({"another", "text 2990"} & set(texts)) == 1
+    assert labelled_sample(docs.limit(0), labels, "toxic", F.lit(True), 40, 100)[0] == []
+
+
+def plain_ngrams(word, low, high, buckets, whole):
+    """Hashed n-grams of one fenced word in plain Python."""
+    mask, base, mix = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD
+    points, out = [ord(c) for c in f"<{word}>"], []
+    for n in range(low, high + 1):
+        for k in range(len(points) - n + 1):
+            h = 0
+            for p in points[k : k + n]:
+                h = (h * base + p + 1) & mask
+            out.append((h + n) & mask)
+    if whole:
+        out.append(sum(p * pow(base, k, 1 << 64) for k, p in enumerate(points)) % (1 << 64) ^ mix)
+    mixed = [((h ^ (h >> 33)) * mix) & mask for h in out]
+    return [(h ^ (h >> 29)) % buckets for h in mixed]
+
+
+SAMPLES = ["Fine words. You VILE scoundrel! more\n\nwords...and", "one", "", "ein zwei zwei drei. vier? fünf", "a" * 200 + " b. c"]
+
+
+PARTED = ["Fine words here. You vile man! more words " * 6, "ein zwei zwei drei. vier? " * 9, "", "one"]
+
+
+@pytest.mark.parametrize("part,samples", [(1 << 20, SAMPLES), (40, PARTED)])
+def test_toxicity_scores_equal_plain_python(monkeypatch, part, samples):
+    """Sentence by sentence, feature by feature; long texts in parts as well."""
+    monkeypatch.setattr(toxicity, "PART_CHARS", part)
+    model = toxicity.ToxicityModel(np.random.default_rng(1).normal(size=toxicity.BUCKETS).astype(np.float32) * 0.05, -1.0)
+
+    def plain(text):
+        keep, z, open_end = 1.0, None, False
+        for run in re.findall(r"\w{1,64}|[.!?\n]+", text.lower()):
+            if run[0] in ".!?\n":
+                keep, z = keep * (1 - 1 / (1 + np.exp(-(z if z is not None else model.bias)))), None
+                continue
+            z = (model.bias if z is None else z) + sum(float(model.weights[i]) for i in plain_ngrams(run, toxicity.LOW, toxicity.HIGH, toxicity.BUCKETS, True))
+        ended = re.search(r"[.!?\n]\W*$", text)
+        if z is not None or not re.search(r"[\w.!?\n]", text):
+            keep *= 1 - 1 / (1 + np.exp(-(z if z is not None else model.bias)))
+        assert ended or z is not None or not text
+        return 1 - keep
+
+    judge = toxicity.Judge(model)
+    got = [toxicity.noisy_or(z) for z in judge.logits(samples)]
+    assert got == pytest.approx([plain(t) for t in samples], rel=1e-6)
+
+
+@pytest.mark.parametrize("part,samples", [(1 << 20, SAMPLES), (40, PARTED)])
+def test_quality_scores_equal_plain_python(monkeypatch, part, samples):
+    monkeypatch.setattr(quality, "PART_CHARS", part)
+    rng = np.random.default_rng(2)
+    model = quality.QualityModel(rng.normal(size=(quality.BUCKETS, 4)).astype(np.float32), rng.normal(size=(2, 4)).astype(np.float32), np.array([0.1, -0.2]))
+
+    def plain(text):
+        total, n, last = np.zeros(4), 0, None
+        for word in text.split():
+            token, last = (quality.REPEAT if word == last else word), word
+            for k in range(0, len(token), quality.TOKEN_CHARS):
+                for i in plain_ngrams(token[k : k + quality.TOKEN_CHARS], quality.LOW, quality.HIGH, quality.BUCKETS, True):
+                    total, n = total + model.vectors[i], n + 1
+        z = model.output @ (total / max(n, 1)) + model.bias
+        return np.exp(z[1]) / np.exp(z).sum()
+
+    assert quality.scorer(model)(samples) == pytest.approx([plain(t) for t in samples], rel=1e-5)
+
+
+@pytest.mark.parametrize("part,samples", [(1 << 20, SAMPLES), (40, PARTED)])
+def test_language_scores_equal_plain_python(monkeypatch, part, samples):
+    monkeypatch.setattr(langid, "PART_CHARS", part)
+    rng = np.random.default_rng(3)
+    model = langid.LanguageModel(["a", "b", "c"], rng.uniform(1, 3, langid.BUCKETS), rng.normal(size=(langid.BUCKETS, 3)).astype(np.float32) * 0.01, np.array([0.0, 0.3, -0.1]), 1.7)
+
+    def plain(text):
+        z, n = np.zeros(3), 0
+        for word in re.findall(r"[^\W\d_]{1,32}", text.lower()):
+            letters = "".join(c for c in word if unicodedata.category(c)[0] == "L")
+            for i in plain_ngrams(letters, langid.LOW, langid.HIGH, langid.BUCKETS, False) if letters else ():
+                z, n = z + model.weights[i] * model.idf[i], n + 1
+        if not n:
+            return "und", 0.0
+        e = np.exp((langid.SCALE * z / n + model.bias) / model.temperature)
+        return model.languages[int(e.argmax())], e.max() / e.sum()
+
+    from corpusloom.llm.common import WordTable
+
+    texts = [*samples, "x² ½ eine Ⅷ"]
+    got = [model.predict(t) for t in langid.document_rows(texts, WordTable(model.word_rows, 4))]
+    assert [g[0] for g in got] == [plain(t)[0] for t in texts] and [g[1] for g in got] == pytest.approx([plain(t)[1] for t in texts], rel=1e-5)
+
+
+def test_training_tells_the_labels_apart():
+    texts, y = ["vile words. calm here", "calm here. calm words", "vile here", "calm calm"], np.array([1.0, 0.0, 1.0, 0.0])
+    model = toxicity.train(texts * 3, np.tile(y, 3), np.ones(12))
+    judge = toxicity.Judge(model)
+    p = [toxicity.noisy_or(z) for z in judge.logits(texts)]
+    assert p[0] > 0.9 and p[2] > 0.9 and p[1] < 0.1 and p[3] < 0.1
+
+
+def test_long_words_take_little_memory():
+    import tracemalloc
+
+    judge = toxicity.Judge(toxicity.ToxicityModel(np.zeros(toxicity.BUCKETS, dtype=np.float32), -5.0))
+    tracemalloc.start()
+    list(judge.logits(["a" * 4_000_000, "!" * 4_000_000]))
+    assert tracemalloc.get_traced_memory()[1] < 300_000_000
+    tracemalloc.stop()
+
+
 def test_ngram_rows_hold_every_fenced_ngram():
     words = ["idiot", "", "é", "中文字", "idiot"]
     indptr, index = char_ngrams(words, 2, 3, 1 << 20)

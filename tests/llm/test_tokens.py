@@ -3,11 +3,13 @@
 import hashlib
 import os
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -28,32 +30,75 @@ def ids_of(library, text):
     return library.encode(text or "", add_special_tokens=False).ids
 
 
-PARTS = ["a", "b", " ", "  ", "\n", "\t", "'", "'s", "'re", "'l", "é", "the", " of", "1", "23", "!", "…", "\xa0", "\x1c", "\u3000", "中", "👩", "\u0301", "<|endoftext|>", "ing", "\U00010d40", "Ᲊ", "x" * 7]
+def in_chunks(machine, text, step):
+    return [i for ids in machine.encode(text[k : k + step] for k in range(0, len(text), step)) for i in ids.tolist()]
+
+
+PARTS = ["x" * 700, " " * 700, "!" * 600, "\n" * 600, "<|end", "r", "e", "a", "b", " ", "  ", "\n", "\t", "'", "'s", "'re", "'l", "é", "the", " of", "1", "23", "!", "…", "\xa0", "\x1c", "\u3000", "中", "👩", "\u0301", "<|endoftext|>", "ing", "\U00010d40", "Ᲊ", "x" * 7]
 
 
 def test_encoding_equals_the_library(library):
-    merges, memo, table = bpe.loaded(PATH)
+    _, machine, table = bpe.loaded(PATH)
     rng = random.Random(1)
-    for _ in range(1500):
+    for _ in range(800):
         text = "".join(rng.choice(PARTS) for _ in range(rng.randint(0, 14)))
         want = ids_of(library, text)
-        assert memo.encode([text])[0].tolist() == want, text
-        step = rng.randint(1, 4)
-        assert list(bpe.Transducer(merges).encode(text[i : i + step] for i in range(0, len(text), step))) == want, text
+        assert machine.feed([bpe.Stream()], [text], [True])[0].tolist() == want, text
+        assert in_chunks(machine, text, rng.choice((1, 2, 3, 4) if len(text) < 100 else (100, 700, 1500))) == want, text
         assert "".join(bpe.decode_pieces(np.array(want, dtype=np.int64), table, 3)) == library.decode(want, skip_special_tokens=False)
 
 
 def test_long_pretokens_need_a_window_only(library):
-    merges, _, _ = bpe.loaded(PATH)
+    """A pre-token without an end goes through the window: its stable ids come before it is over."""
+    merges, machine, _ = bpe.loaded(PATH)
     rng = random.Random(2)
-    for kind in ("abcdethionrs", "a", "= ", "-_"):
+    for kind in ("abcdethionrs", "a", "=", "-_", "\n", "中文字"):
         text = "".join(rng.choice(kind) for _ in range(6000))
-        machine, most, out = bpe.Transducer(merges), 0, []
-        for c in text:
-            out += machine.feed(c)
-            most = max(most, len(machine.window))
-        assert out + machine.finish() == ids_of(library, text)
-        assert most <= merges.window
+        stream, most, out, early = bpe.Stream(), 0, [], 0
+        for k in range(0, len(text), 50):
+            out += machine.feed([stream], [text[k : k + 50]], [False])[0].tolist()
+            most = max(most, len(stream.window) + 3 * len(stream.tail))
+        early = len(out)
+        out += machine.feed([stream], [""], [True])[0].tolist()
+        assert out == ids_of(library, text)
+        assert most <= merges.window + 3 * (bpe.OPEN_CHARS + 50) and early > 0.7 * len(out)
+
+
+def test_many_streams_at_once(library):
+    machine, rng = bpe.loaded(PATH)[1], random.Random(5)
+    texts = ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 9))) for _ in range(40)]
+    streams, out = [bpe.Stream() for _ in texts], [[] for _ in texts]
+    for k in range(0, 3000, 150):
+        for row, ids in zip(out, machine.feed(streams, [t[k : k + 150] for t in texts], [False] * len(texts))):
+            row += ids.tolist()
+    for row, ids in zip(out, machine.feed(streams, [t[3000:] for t in texts], [True] * len(texts))):
+        row += ids.tolist()
+    assert out == [ids_of(library, t) for t in texts]
+
+
+def test_memory_is_constant_on_a_long_text():
+    """50 MB in one row: what is held beside the text is a small part of it and doesn't grow with it."""
+    merges, _, table = bpe.loaded(PATH)
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(120, 250))) for _ in range(3000)] + ["x" * 40_000]
+    text = " ".join(rng.choice(words) for _ in range(300_000))[:50_000_000]
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["doc_id", "text"])
+    trip, machine, held = bpe.RoundTrip(table, False), bpe.Transducer(merges), []
+    tracemalloc.start()
+    for _, _, ids, end in machine.rows(batch, 1):
+        trip.feed(ids)
+        held.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.reset_peak()
+    tracemalloc.stop()
+    assert end and trip.finish()[2] == hashlib.sha256(text.encode()).hexdigest()
+    assert max(held) < 30_000_000 and max(held[100:]) < 1.3 * max(held[:100])
+
+
+def test_lists_without_a_bound_are_refused():
+    tokens = {ord(c): c.encode() for c in "abc"} | {1: b"ab", 2: b"abc", 3: b"bc"}
+    for rules in ([(1, ord("c"), 2), (ord("a"), ord("b"), 1)], [(ord("a"), ord("b"), 1), (1, ord("c"), 2), (ord("b"), ord("c"), 3), (ord("a"), 3, 2)]):
+        with pytest.raises(ValueError):
+            bpe.Merges(tokens, rules, {})
 
 
 def test_lossy_decoding_equals_the_library(library):
