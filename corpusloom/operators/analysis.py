@@ -148,3 +148,18 @@ def locate(drawn: DataFrame, spans: DataFrame, width: int) -> DataFrame:
     listed = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))))
     found = drawn.withColumn("_b", F.floor(F.col("draw") / width)).join(listed, "_b")
     return found.where(F.col("draw").between(F.col("first"), F.col("last"))).drop("_b")
+
+
+def sweep_winners(candidates: DataFrame) -> DataFrame:
+    """(ranking, winner, score) of candidate vocabularies (name, macro_bpt, worst_bpt, gini, params_m, thru_mb_s).
+
+    One ranking is by compression alone, the other weighs parameters and throughput
+    as well. Of candidates that tie, the greatest name wins; without candidates the
+    winners are null.
+    """
+    compression = F.col("macro_bpt") * 0.5 + F.col("worst_bpt") * 0.5 - F.col("gini") * 2.0
+    whole = F.col("macro_bpt") / 10.0 + F.col("worst_bpt") / 5.0 - F.col("gini") * 1.5 - F.col("params_m") / 1000.0 * 0.15 + F.col("thru_mb_s") / 10.0 * 0.1
+    best = lambda score: F.max(F.struct(score.alias("score"), F.col("name").alias("winner")))
+    both = candidates.agg(best(compression).alias("compression"), best(whole).alias("end_to_end"))
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("ranking"), F.col(n).alias("b")) for n in ("compression", "end_to_end")]))
+    return both.select(rows.alias("r")).select("r.ranking", "r.b.winner", F.round("r.b.score", 6).alias("score"))

@@ -10,11 +10,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..session import shared_checkpoint
+from .ranking import number_rows
 
 #: What marks a source path or the head of a text as code.
 CODE_PATHS = ("code", "python", "alpaca", ".py", ".cpp", ".c", ".java", ".js", ".ts", ".html", ".css", ".json", ".sql", ".sh")
@@ -24,8 +26,6 @@ MIN_WORDS, MIN_BYTES, MIN_CODE_BYTES, MIN_RAW_BYTES = 15, 80, 15, 32
 TRIGRAM_SHARE, SYMBOL_SHARE, SYMBOL_CHARS = 0.15, 0.40, 50
 BYTE_SHARE, BYTE_SAMPLE, LONG_BYTES = 0.95, 128, 8 << 20
 EOS = 258
-#: Rows of one bucket of a running sum.
-BUCKET_ROWS = 1 << 16
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
@@ -76,7 +76,8 @@ def quality_flags(docs: DataFrame, pruning: bool = True, strict_code: bool = Fal
     short_prose = (F.size("_words") < MIN_WORDS) | (F.col("raw_bytes") < MIN_BYTES)
     stripped = F.octet_length(F.regexp_replace(t, r"^[ \t\n\r\x0b\f]+|[ \t\n\r\x0b\f]+$", ""))
     base = (F.col("raw_bytes") > 0) & (F.col("raw_bytes") < MIN_RAW_BYTES)
-    nul = F.length(F.substring(t, 1, 65536)) - F.length(F.replace(F.substring(t, 1, 65536), F.lit("\0"), F.lit("")))
+    head = F.regexp_replace(F.hex(F.substring(F.encode(t, "utf-8"), 1, 65536)), "(..)", "$1 ")  # the bytes one by one
+    nul = F.when(F.contains(t, F.lit("\0")), F.size(F.regexp_extract_all(head, F.lit("00 "), F.lit(0)))).otherwise(0)
     pruned = F.lit(pruning) & (F.length(t) > 0)
     # One struct after another keeps each text expression evaluated once.
     step = docs.withColumns({"raw_bytes": X.utf8_bytes("text"), "is_code": code, "_words": X.words("text")})
@@ -127,19 +128,26 @@ def first_occurrences(docs: DataFrame) -> DataFrame:
     return fingerprint(docs).groupBy("content_sha256").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("raw_bytes").alias("raw_bytes"))
 
 
+def _spread(rows: DataFrame) -> Column:
+    """A last sort key that parts rows which differ in anything but maps."""
+    return F.xxhash64(*[F.col(f"`{name}`") for name, kind in rows.dtypes if "map<" not in kind])
+
+
 def running_sum(rows: DataFrame, order: str, value: str, out: str) -> DataFrame:
-    """Add the sum of ``value`` over all rows before, in the order of a whole-number column.
+    """Add the sum of ``value`` over all rows before, in the order of a column.
 
-    Two levels: buckets of the order column are summed, the small table of bucket
-    sums gets its own running sum, and rows are summed within their bucket.
+    Rows that tie go by their value; null orders come last and null values count as
+    nothing. Two levels: the rows are range-partitioned and written with the number of
+    their range, whatever the orders' values are; ranges are summed, the small table
+    of their sums gets its own running sum, and rows are summed within their range.
     """
-    bucketed = rows.withColumn("_b", F.floor(F.col(order) / BUCKET_ROWS))
-    sums = bucketed.groupBy("_b").agg(F.sum(value).alias("_s"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_start"))  # one row a bucket
-    within = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    local = bucketed.withColumn("_local", F.coalesce(F.sum(value).over(within), F.lit(0)))
-    return local.join(starts, "_b").withColumn(out, (F.col("_start") + F.col("_local")).cast("long")).drop("_b", "_local", "_start")
+    keys = (F.col(order).asc_nulls_last(), F.col(value), _spread(rows))
+    ranged = shared_checkpoint(rows.orderBy(*keys).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("_range").agg(F.sum(value).alias("_s")).select("_range", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumn("_local", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return local.join(F.broadcast(starts), "_range").withColumn(out, (F.col("_start") + F.col("_local")).cast("long")).drop("_range", "_local", "_start")  # one row a range
 
 
 def bucket_shards(docs: DataFrame, target: int) -> DataFrame:
@@ -156,38 +164,67 @@ def bucket_shards(docs: DataFrame, target: int) -> DataFrame:
     return rows.join(first, ["split", "shard_id"]).withColumn("token_offset", F.col("_start_token") - F.col("_first")).drop("_start_token", "_first")
 
 
-def pack_shards(docs: DataFrame, target: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+class ShardFold:
+    """The sequential fold of shard groups, fed with blocks of (is val, tokens) in corpus order."""
+
+    def __init__(self, target: int):
+        self.target, self.fill, self.at = target, [0, 0], 0
+
+    def feed(self, val: np.ndarray, tokens: np.ndarray) -> list[int]:
+        """Numbers of the rows of this block that start a group (but for the very first)."""
+        sums = [np.cumsum(np.where(val == s, tokens, 0)) for s in (0, 1)]
+        starts, i, base = [], 0, [0, 0]
+        while True:
+            reach = [int(np.searchsorted(c, self.target - f + b)) for c, f, b in zip(sums, self.fill, base)]
+            j = max(i, min(reach))
+            if j >= len(tokens):
+                self.fill = [f + int(c[-1] if len(c) else 0) - b for c, f, b in zip(sums, self.fill, base)]
+                self.at += len(tokens)
+                return starts
+            s = int(val[j])
+            had = self.fill[s] + int(sums[s][j]) - int(tokens[j]) - base[s]
+            i = j if had and had + tokens[j] > self.target else j + 1  # it goes into the next group, or fills this one
+            starts.append(self.at + i)
+            self.fill, base = [0, 0], [int(c[i - 1]) if i else 0 for c in sums]
+
+
+def pack_shards(docs: DataFrame, target: int) -> DataFrame:
     """Greedy shards in corpus order, both splits cut together.
 
     A shard group ends before a document that would take a split's shard past
-    ``target`` and after one that reaches it. The fold over (doc_id, split,
-    n_tokens) runs by buckets of ids: what a bucket does depends on the fill it
-    starts with, so buckets start a group of their own, and their groups are then
-    numbered through. With one bucket this is the plain sequential fold.
+    ``target`` and after one that reaches it. Where a group ends depends on all
+    before, so this one decision is a fold in order: rows, numbered by ranges and
+    packed to five bytes each, stream past it block by block, and it jumps from group
+    to group by searching running sums. Only the groups' first rows come out, and go
+    to a table in portions. Null ids come last, ties go by split and tokens.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id", kind="stable")
-        fill, group, out = {"train": 0, "val": 0}, 0, []
-        for split, n in zip(pdf["split"], pdf["n_tokens"]):
-            if fill[split] and fill[split] + n > target:
-                group, fill = group + 1, {"train": 0, "val": 0}
-            out.append((group, fill[split]))
-            fill[split] += n
-            if fill[split] >= target:
-                group, fill = group + 1, {"train": 0, "val": 0}
-        found = np.array(out, dtype=np.int64).reshape(-1, 2)
-        return pdf.assign(local=found[:, 0], token_offset=found[:, 1])[["b", "doc_id", "split", "n_tokens", "local", "token_offset"]]
-
-    narrow = docs.select(F.floor(F.col("doc_id") / bucket_rows).alias("b"), "doc_id", "split", "n_tokens")
-    folded = shared_checkpoint(narrow.groupBy("b").applyInPandas(fold, "b long, doc_id long, split string, n_tokens long, local long, token_offset long"))
-    sizes = folded.groupBy("b").agg((F.max("local") + 1).alias("_n"))
-    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
-    return folded.join(starts, "b").select("doc_id", "split", "n_tokens", (F.col("_s") + F.col("local")).alias("shard_id"), "token_offset")
-
-
-#: Near-duplicate bands: 16 of 4 rows over sampled word bigrams.
+    spark = docs.sparkSession
+    narrow = docs.select("doc_id", "split", F.col("n_tokens").cast("int").alias("n_tokens"))
+    order = (F.col("doc_id").asc_nulls_last(), F.col("split"), F.col("n_tokens"))
+    numbered = shared_checkpoint(number_rows(narrow, "_k", *order))
+
+    def blocks(batches):
+        for batch in batches:
+            val, tokens = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
+            first = batch.column(0)[0].as_py() if len(batch) else 0
+            yield pa.RecordBatch.from_pydict({"_k": [first], "val": [val.astype(np.uint8).tobytes()], "tokens": [tokens.astype("<i4").tobytes()]})
+
+    sorted_rows = numbered.select("_k", F.coalesce(F.col("split") == "val", F.lit(False)).alias("val"), F.coalesce("n_tokens", F.lit(0)).alias("n")).orderBy("_k")
+    fold, starts, parts = ShardFold(target), [0], []
+    for block in sorted_rows.mapInArrow(blocks, "_k long, val binary, tokens binary").toLocalIterator():
+        starts += fold.feed(np.frombuffer(block["val"], dtype=np.uint8), np.frombuffer(block["tokens"], dtype="<i4").astype(np.int64))
+        if len(starts) > 1_000_000:
+            parts.append(shared_checkpoint(spark.createDataFrame(pd.DataFrame({"_k": starts}), "_k long")))
+            starts = []
+    parts.append(spark.createDataFrame([(k,) for k in starts], "_k long"))
+    firsts = reduce(DataFrame.unionByName, parts).withColumn("_first", F.lit(1))
+    marked = numbered.join(firsts, "_k", "left").withColumn("_first", F.coalesce("_first", F.lit(0)))
+    grouped = running_sum(marked, "_k", "_first", "_before").withColumn("shard_id", F.col("_before") + F.col("_first") - 1)
+    within = Window.partitionBy("shard_id", "split").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)  # a shard of bounded tokens
+    return grouped.select("doc_id", "split", "n_tokens", "shard_id", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("token_offset"))
+
+
+#: Near-duplicate bands, 16 of 4 rows over sampled word bigrams, and the factors of their hash family.
 BANDS, BAND_ROWS, NEAR_BANDS, NEAR_BANDS_CODE = 16, 4, 3, 12
 _FACTORS = np.arange(BANDS * BAND_ROWS, dtype=np.uint64)
 _MULTIPLY = _FACTORS * np.uint64(10007) + np.uint64(1)
@@ -207,31 +244,33 @@ def band_values(words: list[str]) -> list[int]:
     return [int(np.uint64(xxhash.xxh64_intdigest(least[b * BAND_ROWS : (b + 1) * BAND_ROWS].tobytes(), seed=b)).astype(np.int64)) for b in range(BANDS)]
 
 
-def near_duplicates(docs: DataFrame, max_rounds: int = 200) -> DataFrame:
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, matching_bands, is_near_duplicate of distinct texts, in corpus order.
 
     A document is rejected if enough of its bands were seen in accepted earlier
     ones; only accepted documents add bands. ``docs`` has doc_id, text, is_code;
-    equal texts are one row, that of the least id.
+    equal texts are one row, that of the least id. Null texts count as one text without words.
 
     The sequential rule is settled in rounds without any pairs. Of every band key
     only the least accepted and the least open document count: enough bands seen
     for sure reject, too few that may yet be seen accept, the rest wait. The least
-    open document of a key never waits for itself, so every round settles some.
+    open document of a key never waits for itself, so every round settles some, and
+    rounds go on until all are. Texts themselves are never shuffled.
     """
-    first = docs.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("is_code").alias("is_code"))
 
     @F.pandas_udf("array<long>")
     def bands(words: pd.Series) -> pd.Series:
         return pd.Series([band_values(list(w)) for w in words])
 
     limit = F.when(F.col("is_code"), NEAR_BANDS_CODE).otherwise(NEAR_BANDS)
-    banded = first.select("doc_id", limit.alias("limit"), bands(X.words("text")).alias("bands"))
+    hashed = docs.select("doc_id", "is_code", F.sha2("text", 256).alias("h"), bands(X.words("text")).alias("bands"))
+    first = hashed.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.max("is_code").alias("is_code"), F.min("bands").alias("bands"))
+    banded = first.select("doc_id", limit.alias("limit"), "bands")
     keys = shared_checkpoint(banded.select("doc_id", "limit", F.posexplode_outer("bands").alias("band", "key")))
     common = keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1 and key is not null").select("band", "key")
     shared = shared_checkpoint(keys.join(common, ["band", "key"]))
     state = shared.select("doc_id").distinct().withColumn("status", F.lit("open"))
-    for _ in range(max_rounds):
+    while True:
         rows = shared.join(state, "doc_id")
         of = lambda s: F.min(F.when(F.col("status") == s, F.col("doc_id")))
         least = rows.groupBy("band", "key").agg(of("kept").alias("kept"), of("open").alias("open"))
@@ -243,8 +282,6 @@ def near_duplicates(docs: DataFrame, max_rounds: int = 200) -> DataFrame:
         state = shared_checkpoint(seen.select("doc_id", settled.alias("status")))
         if state.where("status = 'open'").isEmpty():
             break
-    else:
-        raise RuntimeError("near-duplicates did not settle")
     kept = shared.join(state.where("status = 'kept'"), "doc_id").groupBy("band", "key").agg(F.min("doc_id").alias("kept"))
     counts = shared.join(kept, ["band", "key"]).groupBy("doc_id").agg(F.count(F.when(F.col("kept") < F.col("doc_id"), 1)).alias("matching_bands"))
     ids = keys.select("doc_id").distinct()

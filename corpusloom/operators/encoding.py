@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,41 +28,55 @@ class Encoder:
     def __init__(self, tokens: dict[bytes, int], costs: dict[int, float] | None = None):
         self.ids = {bytes([b]): b for b in range(256)} | tokens
         self.bytes = {i: t for t, i in self.ids.items()}
-        self.longest = max(map(len, self.ids))
         self.costs = costs or {}
+        # Nested tables by byte: a node's token, if it is one, is at key -1. A walk ends where no token goes on.
+        self.root: dict = {}
+        for token, i in self.ids.items():
+            node = self.root
+            for b in token:
+                node = node.setdefault(b, {})
+            if token:
+                node[-1] = i
 
     def greedy(self, data: bytes) -> list[int]:
         """The longest token at every position."""
-        out, at = [], 0
-        while at < len(data):
-            for size in range(min(self.longest, len(data) - at), 0, -1):
-                token = self.ids.get(data[at : at + size])
-                if token is not None:
-                    out.append(token)
-                    at += size
-                    break
+        out, at, n = [], 0, len(data)
+        while at < n:
+            node, k = self.root, at
+            while k < n and (node := node.get(data[k])) is not None:
+                k += 1
+                if -1 in node:
+                    found, end = node[-1], k
+            out.append(found)
+            at = end
         return out
 
     def fewest(self, data: bytes) -> list[int]:
         """A path of fewest tokens; of equals the one whose last step starts first."""
-        return self._path(data, lambda token: 1.0)
+        return self._path(data, None)
 
     def cheapest(self, data: bytes) -> list[int]:
         """A path of least cost by token; tokens without one cost 10."""
-        return self._path(data, lambda token: self.costs.get(token, 10.0))
+        return self._path(data, self.costs)
 
-    def _path(self, data: bytes, cost) -> list[int]:
-        n = len(data)
-        best, back = [0.0] + [float("inf")] * n, [(-1, -1)] * (n + 1)
+    def _path(self, data: bytes, costs: dict[int, float] | None) -> list[int]:
+        n, root = len(data), self.root
+        if n == 1:
+            return [root[data[0]][-1]]
+        best, start_of, token_of = [0.0] + [float("inf")] * n, array("q", bytes(8 * (n + 1))), array("q", bytes(8 * (n + 1)))
         for start in range(n):
-            for end in range(start + 1, min(n, start + self.longest) + 1):
-                token = self.ids.get(data[start:end])
-                if token is not None and best[start] + cost(token) < best[end]:
-                    best[end], back[end] = best[start] + cost(token), (start, token)
+            node, end, so_far, plain = root, start, best[start], best[start] + 1.0
+            while end < n and (node := node.get(data[end])) is not None:
+                end += 1
+                token = node.get(-1)
+                if token is not None:
+                    cost = plain if costs is None else so_far + costs.get(token, 10.0)
+                    if cost < best[end]:
+                        best[end], start_of[end], token_of[end] = cost, start, token
         out, at = [], n
         while at:
-            at, token = back[at]
-            out.append(token)
+            out.append(token_of[at])
+            at = start_of[at]
         return out[::-1]
 
     def decode(self, ids) -> bytes:
@@ -81,38 +99,65 @@ def encode(docs: DataFrame, vocabulary: DataFrame, mode: str = "bounded", eos: b
     shared = broadcast_vocabulary(vocabulary)
     whole = mode in ("greedy", "minimal")
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder(shared.value, {i: 1.0 / (1.0 + np.log1p(len(t))) for t, i in shared.value.items()})
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = encoder_of(shared.value)
         step = {"bounded": encoder.fewest, "greedy": encoder.greedy, "minimal": encoder.fewest, "weighted": encoder.cheapest}[mode]
-        memo: dict = {}
-
-        def chunk(piece: str) -> list[int]:
-            if piece not in memo:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                memo[piece] = step(piece.encode("utf-8", "surrogatepass"))
-            return memo[piece]
-
+        memo: dict[str, np.ndarray] = {}
         for batch in batches:
             if whole:
-                yield pd.Series([step((t or "").encode("utf-8", "surrogatepass")) for t in batch])
+                yield pa.array([step((t or "").encode("utf-8", "surrogatepass")) for t in batch.to_pylist()], pa.list_(pa.int32()))
             else:
-                yield pd.Series([[i for p in pieces for i in chunk(p)] for pieces in batch])
+                yield encode_chunks(batch, step, memo)
 
-    found = F.pandas_udf(run, "array<int>")(F.col("text") if whole else X.pretokens("text"))
+    found = F.arrow_udf(run, "array<int>")(F.col("text") if whole else X.pretokens("text"))
     return docs.withColumn("ids", F.concat(found, F.array(F.lit(SPECIAL["<|eos|>"]))) if eos else found)
 
 
+def encoder_of(tokens: dict[bytes, int]) -> Encoder:
+    return Encoder(tokens, {i: 1.0 / (1.0 + math.log1p(len(t))) for t, i in tokens.items()})
+
+
+def encode_chunks(lists: pa.Array, step, memo: dict[str, np.ndarray]) -> pa.Array:
+    """Ids of lists of chunks. Arrow tells the chunks apart, so each distinct one of a batch is looked up once."""
+    codes = pc.dictionary_encode(lists.flatten())
+    pieces = codes.dictionary.to_pylist()
+    if len(memo) > MEMO:
+        memo.clear()
+    for p in pieces:
+        if p not in memo:
+            memo[p] = np.array(step(p.encode("utf-8", "surrogatepass")), dtype=np.int32)
+    known = [memo[p] for p in pieces]
+    sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known))
+    flat = np.concatenate(known) if known else np.zeros(0, dtype=np.int32)
+    at = codes.indices.to_numpy(zero_copy_only=False)
+    each, first = sizes[at], (np.cumsum(sizes) - sizes)[at]
+    upto = np.concatenate([[0], np.cumsum(each)])
+    ids = flat[np.repeat(first - upto[:-1], each) + np.arange(upto[-1])]
+    rows = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))])
+    return pa.ListArray.from_arrays(pa.array(upto[rows], pa.int32()), pa.array(ids, pa.int32()))
+
+
 def decode(ids: Column, vocabulary: DataFrame) -> Column:
-    """Text of token ids; malformed bytes give U+FFFD, unknown ids nothing."""
+    """Text of token ids; malformed bytes give U+FFFD, unknown and null ids nothing; null for null."""
     shared = broadcast_vocabulary(vocabulary)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(shared.value)
+        names = {i: s.encode() for s, i in SPECIAL.items()} | encoder.bytes
+        table = [names.get(i, b"") for i in range(max(names) + 2)]
+        sizes = np.fromiter(map(len, table), dtype=np.int64, count=len(table))
+        starts, buffer = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(table), dtype=np.uint8)
         for batch in batches:
-            yield pd.Series([encoder.decode(x).decode("utf-8", "replace") for x in batch])
-
-    return F.pandas_udf(run, "string")(ids)
+            flat = pc.fill_null(batch.flatten(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = np.where((flat < 0) | (flat >= len(table)), len(table) - 1, flat)
+            each = sizes[flat]
+            upto = np.concatenate([[0], np.cumsum(each)])
+            spelt = buffer[np.repeat(starts[flat] - upto[:-1], each) + np.arange(upto[-1])].tobytes()
+            rows = upto[np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False))])].tolist()
+            valid = pc.is_valid(batch).to_pylist()
+            yield pa.array([spelt[a:b].decode("utf-8", "replace") if ok else None for a, b, ok in zip(rows, rows[1:], valid)], pa.string())
+
+    return F.arrow_udf(run, "string")(ids)
 
 
 def pack21(ids: np.ndarray) -> bytes:

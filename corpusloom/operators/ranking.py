@@ -21,5 +21,5 @@ def number_rows(rows: DataFrame, out: str, *order: Column) -> DataFrame:
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     firsts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))  # one row a range
     within = Window.partitionBy("_range").orderBy(*order)
-    numbered = ranged.withColumn("_k", F.row_number().over(within) - 1).join(firsts, "_range")
-    return numbered.withColumn(out, (F.col("_first") + F.col("_k")).cast("long")).drop("_range", "_first", "_k")
+    numbered = ranged.withColumn("_within", F.row_number().over(within) - 1).join(firsts, "_range")
+    return numbered.withColumn(out, (F.col("_first") + F.col("_within")).cast("long")).drop("_range", "_first", "_within")

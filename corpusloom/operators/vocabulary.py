@@ -49,18 +49,27 @@ def mined_candidates(docs: DataFrame, longest: int = 16, affix: int = 5) -> Data
 
 
 def candidate_metrics(long: DataFrame) -> DataFrame:
-    """Per token: total, languages, bytes and positions saved, normalised entropy over languages."""
+    """Per token: total, languages, bytes and positions saved, entropy over languages, collision risk.
+
+    The entropy is normalised by that of an even spread over all languages of the
+    corpus, not only those of the token. Short whole words of many languages run
+    the risk of meaning different things.
+    """
     f = F.col("freq").cast("double")
     grouped = long.groupBy("token").agg(F.sum("freq").alias("total_freq"), F.count("*").alias("n_langs"), F.sum(f * F.log2(f)).alias("_flogf"))
+    languages = long.groupBy("lang").agg(F.lit(1).alias("_one")).agg(F.count("*").cast("double").alias("_all"))
     total = F.col("total_freq").cast("double")
-    entropy = F.when(F.col("n_langs") > 1, (F.log2(total) - F.col("_flogf") / total) / F.log2(F.col("n_langs").cast("double"))).otherwise(0.0)
-    return grouped.select(
+    most = F.when(F.col("_all") > 1, F.log2("_all")).otherwise(1.0)
+    entropy = F.when(F.col("n_langs") > 1, (F.log2(total) - F.col("_flogf") / total) / most).otherwise(0.0)
+    risky = (F.length("token") <= 2) & (F.col("n_langs") > 4) & (S.token_type(F.col("token")) == "WHOLE_WORD")
+    return grouped.join(F.broadcast(languages)).select(  # one row beside
         "token",
         "total_freq",
         "n_langs",
-        ((F.octet_length("token") - 1) * F.col("total_freq")).alias("bytes_saved"),
-        ((F.length("token") - 1) * F.col("total_freq")).alias("positions_saved"),
+        (F.greatest(F.lit(0), F.octet_length("token") - 1) * F.col("total_freq")).alias("bytes_saved"),
+        (F.greatest(F.lit(0), F.length("token") - 1) * F.col("total_freq")).alias("positions_saved"),
         entropy.alias("entropy"),
+        F.when(risky, 0.5).otherwise(0.0).alias("collision_risk"),
     )
 
 
@@ -104,7 +113,9 @@ def allocate(long: DataFrame, strategy: str, slots: int, guarantee: int = 500) -
     if strategy == "e":
         utility = joined.groupBy("token").agg(F.sum(F.col("freq") * (F.octet_length("token") - 1) * F.col("fair")).alias("_u"))
         bonus = F.when(token_script(F.col("token")).isin("LATIN", "PUNCTUATION_SPACE"), 1.0).otherwise(1.3)
-        scored = utility.join(metrics.select("token", "entropy"), "token").select("token", F.round(F.col("_u") * (1 + F.col("entropy") * 1.2) * bonus * 0.5, 6).alias("score"))
+        scored = utility.join(metrics.select("token", "entropy", "collision_risk"), "token").select(
+            "token", F.round(F.col("_u") * (1 + F.col("entropy") * 1.2) * bonus * (1 - F.col("collision_risk")), 6).alias("score")
+        )
         return top(scored, slots, *by_score)
     raise ValueError(f"unknown strategy {strategy!r}")
 
@@ -231,3 +242,18 @@ def word_compositions(words: DataFrame, pool: DataFrame, keep: tuple[int, int] =
         kept = split.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).select("word", "pieces")
         found = kept if found is None else found.unionByName(kept)
     return found
+
+
+def inserted(vocabulary: DataFrame, tokens: DataFrame, first_id: int = FIRST_ID) -> DataFrame:
+    """``vocabulary`` (token_bytes, token_id) with further tokens (token_bytes, order) inserted in order.
+
+    Bytes that are known keep their id, the first of equals wins, and null or empty
+    bytes are left out. New ids go on from the largest; an empty vocabulary starts at
+    ``first_id``.
+    """
+    fresh = tokens.where(F.octet_length("token_bytes") > 0).groupBy("token_bytes").agg(F.min("order").alias("_o"))
+    new = fresh.join(vocabulary.select("token_bytes"), "token_bytes", "left_anti")
+    top = vocabulary.agg(F.greatest(F.coalesce(F.max("token_id") + 1, F.lit(first_id)), F.lit(first_id)).cast("long").alias("_next"))
+    numbered = number_rows(new, "_k", F.asc("_o"), F.asc("token_bytes")).join(F.broadcast(top))  # one row beside
+    made = numbered.select("token_bytes", (F.col("_next") + F.col("_k")).cast("long").alias("token_id"))
+    return vocabulary.select("token_bytes", F.col("token_id").cast("long").alias("token_id")).unionByName(made)

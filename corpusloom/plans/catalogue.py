@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scripts as S
@@ -19,6 +19,7 @@ from ..operators import documents as D
 from ..operators import encoding as E
 from ..operators import morphology as M
 from ..operators import vocabulary as V
+from ..operators.ranking import number_rows
 from ..session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,12 +148,12 @@ base AS (SELECT doc_id, text, lang, source, {BYTES_SQL} AS raw_bytes, ({_CODE})
 grams AS (SELECT doc_id, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) AS g FROM base WHERE NOT is_code AND len(w) >= 15),
 tri AS (SELECT doc_id, max(c) / sum(c) AS share FROM (SELECT doc_id, g, count(*) AS c FROM grams GROUP BY ALL) GROUP BY doc_id),
 bytes AS (SELECT doc_id, unnest(regexp_extract_all(substr(hex(encode(text)), 1, 131072), '..')) AS b FROM base),
-top AS (SELECT doc_id, max(c) / sum(c) AS share FROM (SELECT doc_id, b, count(*) AS c FROM bytes GROUP BY ALL) GROUP BY doc_id),
+top AS (SELECT doc_id, max(c) / sum(c) AS share, coalesce(sum(c) FILTER (b = '00'), 0) / sum(c) AS nul FROM (SELECT doc_id, b, count(*) AS c FROM bytes GROUP BY ALL) GROUP BY doc_id),
 flags AS (SELECT base.*, len(w) AS word_count, raw_bytes = 0 AS empty,
   CASE WHEN length(text) > 0 AND NOT is_code THEN len(w) < 15 OR raw_bytes < 80 WHEN length(text) > 0 THEN octet_length(encode(regexp_replace(text, '^[ \t\n\r\x0b\f]+|[ \t\n\r\x0b\f]+$', '', 'g'))) < 15 ELSE false END AS short,
   (raw_bytes >= 128 AND coalesce(top.share, 0) >= 0.95) OR coalesce(tri.share, 0) > 0.15 AS extreme_repetition,
   CASE WHEN NOT is_code AND length(text) > 50 THEN length(regexp_replace(text, '[^\p{{L}}\p{{N}}\x{{900}}-\x{{D7F}}]', '', 'g')) / length(text) < 0.40 ELSE false END AS noisy_symbols,
-  false AS nul_heavy, raw_bytes >= 8388608 AS extremely_long, text IS NULL AS ambiguous
+  coalesce(top.nul, 0) > 0.01 AS nul_heavy, raw_bytes >= 8388608 AS extremely_long, text IS NULL AS ambiguous
   FROM base LEFT JOIN tri USING (doc_id) LEFT JOIN top USING (doc_id))"""
 DISPOSED_CTE = rf"""{QUALITY_CTE},
 marked AS (SELECT *, sha256(text) AS h, CASE WHEN ambiguous THEN 'ambiguous' WHEN empty THEN 'empty' WHEN short THEN 'short' WHEN extreme_repetition THEN 'extreme_repetition' WHEN noisy_symbols THEN 'noisy_symbols' END AS reason FROM flags),
@@ -337,9 +338,13 @@ SELECT lang, source, count(*) AS documents, count(*) FILTER (5 * w < c) AS wins,
 def head_to_head(spark, d):
     """Two token counts a document, five a word against one a character, by language, source and overall."""
     rows = _docs(spark, d).select("lang", "source", F.length("text").alias("c"), F.size(X.words("text")).alias("w"))
-    rows.createOrReplaceTempView("_head_to_head")
-    return spark.sql("""SELECT lang, source, count(*) AS documents, count_if(5 * w < c) AS wins, count_if(5 * w > c) AS losses, count_if(5 * w = c) AS ties, cast(sum(c) - 5 * sum(w) AS BIGINT) AS saved
-        FROM _head_to_head GROUP BY GROUPING SETS ((lang), (source), ())""")
+    return rows.groupingSets([[F.col("lang")], [F.col("source")], []], "lang", "source").agg(
+        F.count("*").alias("documents"),
+        F.count_if(5 * F.col("w") < F.col("c")).alias("wins"),
+        F.count_if(5 * F.col("w") > F.col("c")).alias("losses"),
+        F.count_if(5 * F.col("w") == F.col("c")).alias("ties"),
+        (F.sum("c") - 5 * F.sum("w")).cast("long").alias("saved"),
+    )
 
 
 @query(f"""WITH b AS (SELECT source, lang, sum(length(text)) / sum(len({WORDS_SQL})) AS cpw FROM documents GROUP BY source, lang)
@@ -351,16 +356,23 @@ def variant_spread(spark, d):
 
 # ---- vocabulary -----------------------------------------------------------------------------
 
-METRICS_CTE = f"""{LONG_CTE}, metrics AS (SELECT token, CAST(sum(freq) AS BIGINT) AS total_freq, count(*) AS n_langs, CAST((octet_length(encode(token)) - 1) * sum(freq) AS BIGINT) AS bytes_saved, CAST((length(token) - 1) * sum(freq) AS BIGINT) AS positions_saved,
-CASE WHEN count(*) > 1 THEN (log2(sum(freq)) - sum(freq * log2(freq)) / sum(freq)) / log2(count(*)) ELSE 0.0 END AS entropy FROM long GROUP BY token),
-mass AS (SELECT lang, sum(freq) AS mass FROM long GROUP BY lang), weights AS (SELECT lang, pow(mass / (SELECT sum(mass) FROM mass), 1.0 / 2.5) / (mass / (SELECT sum(mass) FROM mass)) AS smooth, sqrt((SELECT max(mass) FROM mass) / mass) AS fair FROM mass)"""
+_TOKEN_TYPE = f"CASE WHEN octet_length(encode(token)) = 1 THEN 'RAW_BYTE' ELSE {S.sql_case('token', S.TOKEN_RULES, 'SUBWORD')} END"
+METRICS_CTE = f"""{LONG_CTE}, mass AS (SELECT lang, sum(freq) AS mass FROM long GROUP BY lang),
+languages AS (SELECT greatest(count(*), 2) AS n FROM mass),
+metrics AS (SELECT token, CAST(sum(freq) AS BIGINT) AS total_freq, count(*) AS n_langs,
+  CAST((octet_length(encode(token)) - 1) * sum(freq) AS BIGINT) AS bytes_saved, CAST((length(token) - 1) * sum(freq) AS BIGINT) AS positions_saved,
+  CASE WHEN count(*) > 1 THEN (log2(sum(freq)) - sum(freq * log2(freq)) / sum(freq)) / log2((SELECT n FROM languages)) ELSE 0.0 END AS entropy,
+  CAST(CASE WHEN length(token) <= 2 AND count(*) > 4 AND {_TOKEN_TYPE} = 'WHOLE_WORD' THEN 0.5 ELSE 0.0 END AS DOUBLE) AS collision_risk
+  FROM long GROUP BY token),
+weights AS (SELECT lang, pow(mass / (SELECT sum(mass) FROM mass), 1.0 / 2.5) / (mass / (SELECT sum(mass) FROM mass)) AS smooth,
+  sqrt((SELECT max(mass) FROM mass) / mass) AS fair FROM mass)"""
 
 
 def _long(spark, d):
     return V.word_counts(_docs(spark, d))
 
 
-@query(f"WITH {METRICS_CTE} SELECT token, total_freq, n_langs, bytes_saved, positions_saved, round(entropy, 6) AS entropy FROM metrics")
+@query(f"WITH {METRICS_CTE} SELECT token, total_freq, n_langs, bytes_saved, positions_saved, round(entropy, 6) AS entropy, collision_risk FROM metrics")
 def candidate_metrics(spark, d):
     return V.candidate_metrics(_long(spark, d)).withColumn("entropy", F.round("entropy", 6))
 
@@ -390,7 +402,7 @@ t AS (SELECT token, score, CAST(k > {GUARANTEE} AS INT) AS tier FROM r) SELECT t
 query(_alloc_sql("SELECT token, CAST(positions_saved AS DOUBLE) AS score FROM metrics"))(_alloc("d"))
 query(
     f"""WITH {METRICS_CTE}, {_SCRIPT_CTE}, u AS (SELECT token, sum(freq * (octet_length(encode(token)) - 1) * fair) AS u FROM long JOIN weights USING (lang) GROUP BY token),
-scored AS (SELECT token, round(u * (1 + entropy * 1.2) * (CASE WHEN coalesce(script, 'LATIN') IN ('LATIN', 'PUNCTUATION_SPACE') THEN 1.0 ELSE 1.3 END) * 0.5, 6) AS score FROM u JOIN metrics USING (token) LEFT JOIN scripts USING (token))
+scored AS (SELECT token, round(u * (1 + entropy * 1.2) * (CASE WHEN coalesce(script, 'LATIN') IN ('LATIN', 'PUNCTUATION_SPACE') THEN 1.0 ELSE 1.3 END) * (1 - collision_risk), 6) AS score FROM u JOIN metrics USING (token) LEFT JOIN scripts USING (token))
 SELECT token, score, row_number() OVER (ORDER BY score DESC, token) AS rank FROM scored ORDER BY score DESC, token LIMIT {SLOTS}"""
 )(_alloc("e"))
 
@@ -517,7 +529,11 @@ def shard_stats(spark, d):
     return rows.groupBy("split", "shard_id").agg(F.count("*").alias("documents"), F.sum("n_tokens").alias("tokens"), F.sum("raw_bytes").alias("bytes"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SPLIT_CTE}, sized AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) AS k, doc_id, split, len({WORDS_SQL}) + 1 AS n FROM split),
+step AS (SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS doc_id, '' AS split, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS shard_id, CAST(0 AS BIGINT) AS token_offset, CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS v, CAST(0 AS BIGINT) AS g
+UNION ALL SELECT k, doc_id, split, n, g + cut, off, CASE WHEN off + n >= {SHARD_TOKENS} THEN 0 WHEN split = 'val' THEN (1 - cut) * t ELSE off + n END, CASE WHEN off + n >= {SHARD_TOKENS} THEN 0 WHEN split = 'val' THEN off + n ELSE (1 - cut) * v END, g + cut + CAST(off + n >= {SHARD_TOKENS} AS INT)
+FROM (SELECT *, (1 - cut) * had AS off FROM (SELECT *, CAST(had > 0 AND had + n > {SHARD_TOKENS} AS INT) AS cut FROM (SELECT z.k, z.doc_id, z.split, z.n, p.t, p.v, p.g, CASE WHEN z.split = 'val' THEN p.v ELSE p.t END AS had FROM step p JOIN sized z ON z.k = p.k + 1))))
+SELECT doc_id, split, CAST(n AS INT) AS n_tokens, shard_id, token_offset FROM step WHERE k > 0""")
 def shard_packing(spark, d):
     return D.pack_shards(_sized(spark, d), SHARD_TOKENS)
 
@@ -621,6 +637,101 @@ def entropy_patch_lengths(spark, d):
     return lengths.select("doc_id", F.size("l").alias("patches"), F.array_max("l").alias("longest"), F.aggregate("l", F.lit(0), lambda a, x: a + x).alias("tokens"))
 
 
+# ---- totals and samples --------------------------------------------------------------------
+
+
+@query(f"""WITH {RANK_CTE}, d AS (SELECT count(*) AS documents, CAST(sum({BYTES_SQL}) AS BIGINT) AS bytes FROM documents), t AS (SELECT CAST(sum("count") AS BIGINT) AS tokens, count(*) AS unique_ids, min(rank) AS min_id, max(rank) AS max_id FROM ranked)
+SELECT documents, bytes, tokens, unique_ids, min_id, max_id, round(bytes / tokens, 6) AS bytes_per_token, round(tokens / documents, 6) AS tokens_per_document, round(tokens / (bytes / 1048576.0), 4) AS tokens_per_mb FROM d, t""")
+def global_stats(spark, d):
+    """Totals of the corpus over words, whose ids are their ranks by frequency."""
+    docs = _docs(spark, d).agg(F.count("*").alias("documents"), F.sum(X.utf8_bytes("text")).alias("bytes"))
+    ids = A.frequency_ranks(_counts(spark, d)).agg(F.sum("count").alias("tokens"), F.count("*").alias("unique_ids"), F.min("rank").alias("min_id"), F.max("rank").alias("max_id"))
+    both = docs.join(F.broadcast(ids))  # one row each
+    return both.withColumns({
+        "bytes_per_token": F.round(F.col("bytes") / F.col("tokens"), 6), "tokens_per_document": F.round(F.col("tokens") / F.col("documents"), 6),
+        "tokens_per_mb": F.round(F.col("tokens") / (F.col("bytes") / 1048576.0), 4),
+    })
+
+
+@query("""WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k, count(*) OVER () AS total FROM documents)
+SELECT doc_id, k FROM n WHERE k IN (SELECT least(total - 1, CAST(floor(i * total / 64.0) AS BIGINT)) FROM n, range(64) t(i))""")
+def slot_sample(spark, d):
+    """Documents at 64 evenly spread places of the corpus, wherever it ends: a sampling operator."""
+    numbered = number_rows(_docs(spark, d).select("doc_id"), "k", F.col("doc_id").asc_nulls_last())
+    total = numbered.count()
+    places = sorted({min(total - 1, i * total // 64) for i in range(64)}) if total else []
+    return numbered.where(F.col("k").isin(places))
+
+
+@query(f"""SELECT source, doc_id, k FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY sha256(CAST(doc_id AS VARCHAR)), doc_id) AS k FROM documents) WHERE k <= 64""")
+def source_sample(spark, d):
+    """The first 64 documents of every source in the order of a hash of the id: a sampling operator."""
+    hashed = _docs(spark, d).select("source", "doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("h"))
+    order = Window.partitionBy("source").orderBy("h", "doc_id")  # only the first rows of each task go to the window
+    return hashed.withColumn("k", F.row_number().over(order)).where("k <= 64").select("source", "doc_id", F.col("k").cast("long").alias("k"))
+
+
+_CATEGORIES = (
+    ("URL_OR_NUMBER", r"^\p{Nd}+([.,]\p{Nd}+)*$|http"), ("CODE", r"[{}();=<>]"), ("MATH", "[∑∫√≠≤≥±πλ]"), ("CJK", r"[\x{4E00}-\x{9FFF}]"), ("KANA", r"[\x{3040}-\x{30FF}]"),
+    ("HANGUL", r"[\x{AC00}-\x{D7AF}]"), ("ARABIC", r"[\x{600}-\x{6FF}]"), ("INDIC", r"[\x{900}-\x{D7F}]"), ("CYRILLIC_GREEK", r"[\x{370}-\x{52F}]"), ("ACCENTED", r"^\p{L}*[^\x00-\x7F]\p{L}*$"), ("PLAIN", r"^[A-Za-z]+$"),
+)
+
+
+@query(f"""WITH {COUNT_CTE}, c AS (SELECT token, "count", {S.sql_case('token', _CATEGORIES, 'OTHER')} AS category FROM counts)
+SELECT category, token, "count", k FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY "count" DESC, token) AS k FROM c) WHERE k <= 5""")
+def categorised_examples(spark, d):
+    """The five most frequent words of each category; the first category that fits counts."""
+    named = F.lit("OTHER")
+    for name, pattern in reversed(_CATEGORIES):
+        named = F.when(F.col("token").rlike(pattern), name).otherwise(named)
+    order = Window.partitionBy("category").orderBy(F.desc("count"), "token")
+    ranked = _counts(spark, d).withColumn("category", named).withColumn("k", F.row_number().over(order).cast("long"))
+    return ranked.where("k <= 5").select("category", "token", "count", "k")
+
+
+@query(f"""WITH {LONG_CTE}, t AS (SELECT token, sum(freq) AS f FROM long GROUP BY token), m AS (SELECT sum(f) AS n FROM t), b AS (SELECT lang, octet_length(encode(token)) * freq AS bytes, freq, -log2((f + 1.0) / (n + 50000)) AS bits FROM long JOIN t USING (token), m)
+SELECT lang, round(sum(freq * bits) / sum(bytes), 6) AS bits_per_byte FROM b GROUP BY lang""")
+def bits_per_byte(spark, d):
+    """Bits a byte of each language's words under the smoothed unigram model of the corpus."""
+    bits = A.entropy_table(_counts(spark, d), 50000).select("token", "bits")
+    rows = _long(spark, d).join(bits, "token")
+    exact = F.sum(F.col("freq") * F.col("bits")) / F.sum(F.octet_length("token") * F.col("freq"))
+    return rows.groupBy("lang").agg(F.round(exact, 6).alias("bits_per_byte"))
+
+
+@query(f"WITH {RANK_CTE} SELECT rank AS token_id, CAST(octet_length(encode(token)) AS BIGINT) AS n_bytes FROM ranked UNION ALL SELECT -1 - i, 0 FROM range(3) t(i)")
+def byte_lengths(spark, d):
+    """Bytes of the token of each id; special ids, here below zero, have none."""
+    ranked = A.frequency_ranks(_counts(spark, d)).select(F.col("rank").alias("token_id"), F.octet_length("token").cast("long").alias("n_bytes"))
+    return ranked.unionByName(spark.range(3).select((-1 - F.col("id")).alias("token_id"), F.lit(0).cast("long").alias("n_bytes")))
+
+
+@query(f"""WITH {WORD_CTE}, base AS (SELECT token, row_number() OVER (ORDER BY token) - 1 + {V.FIRST_ID} AS token_id FROM (SELECT DISTINCT token FROM words WHERE lang = 'en')),
+o AS (SELECT token, min(doc_id) AS o FROM words GROUP BY token HAVING token NOT IN (SELECT token FROM base))
+SELECT hex(encode(token)) AS bytes_hex, token_id FROM base UNION ALL SELECT hex(encode(token)), (SELECT max(token_id) FROM base) + row_number() OVER (ORDER BY o, encode(token)) FROM o""")
+def vocabulary_insertion(spark, d):
+    """English words, numbered, then the others in the order of the documents that bring them."""
+    of = lambda rows: rows.select("doc_id", F.explode(X.words("text")).alias("token")).select("doc_id", F.encode("token", "utf-8").alias("token_bytes"))
+    docs = _docs(spark, d)
+    english = of(docs.where("lang = 'en'")).select("token_bytes").distinct()
+    base = number_rows(english, "token_id", F.asc("token_bytes")).withColumn("token_id", F.col("token_id") + V.FIRST_ID)
+    found = V.inserted(base, of(docs).withColumnRenamed("doc_id", "order"))
+    return found.select(F.hex("token_bytes").alias("bytes_hex"), "token_id")
+
+
+_SWEEP = f"SELECT lang AS name, bytes / words AS macro_bpt, chars / words AS worst_bpt, 1.0 / documents AS gini, 2.0 * (words * 128 + 128 * 4096) / 1000000.0 AS params_m, bytes / 1048576.0 AS thru_mb_s FROM ({LANG_SQL})"
+
+
+@query(f"""WITH c AS ({_SWEEP}), s AS (SELECT name, macro_bpt * 0.5 + worst_bpt * 0.5 - gini * 2.0 AS a, macro_bpt / 10.0 + worst_bpt / 5.0 - gini * 1.5 - params_m / 1000.0 * 0.15 + thru_mb_s / 10.0 * 0.1 AS b FROM c)
+SELECT 'compression' AS ranking, arg_max(name, a) AS winner, round(max(a), 6) AS score FROM s UNION ALL SELECT 'end_to_end', arg_max(name, b), round(max(b), 6) FROM s""")
+def sweep_winners(spark, d):
+    """The best candidate by compression alone and with the costs of a model; languages stand for candidates."""
+    c = _lang_stats(spark, d).selectExpr(
+        "lang AS name", "bytes / words AS macro_bpt", "chars / words AS worst_bpt", "1D / documents AS gini", "2D * (words * 128 + 128 * 4096) / 1000000D AS params_m", "bytes / 1048576D AS thru_mb_s"
+    )
+    return A.sweep_winners(c)
+
+
 # ---- selection over small tables ------------------------------------------------------------
 
 _PARETO = "SELECT lang AS name, round(bytes / words, 6) AS macro_bpt, round(chars / words, 6) AS worst_bpt, round(bytes / chars, 6) AS overall_bpt, round(words / documents, 6) AS lm_quality, round(100.0 * words / bytes, 6) AS utilization, documents AS vocab_size, round(words / 1000.0, 6) AS throughput, round(1.0 / documents, 6) AS rare_fraction, lang <> 'xx' AS lossless"
@@ -719,10 +830,11 @@ def pretokenize(spark, d):
 
 
 def _vocabulary(spark, d, slots: int = 4000) -> DataFrame:
-    """The candidates that save most bytes, numbered: a vocabulary of bounded size."""
+    """The candidates that save most bytes, numbered: a vocabulary of ``slots`` rows, mined once."""
     mined = V.mined_candidates(_docs(spark, d)).groupBy("token").agg(F.sum("freq").alias("freq"))
     scored = mined.where(F.octet_length("token") > 1).withColumn("score", F.col("freq") * (F.octet_length("token") - 1))
-    return V.top(scored, slots, F.desc("score"), F.asc("token")).select("token", (F.col("rank") - 1 + V.FIRST_ID).alias("token_id"))
+    rows = V.top(scored, slots, F.desc("score"), F.asc("token")).select("token", (F.col("rank") - 1 + V.FIRST_ID).alias("token_id")).collect()
+    return spark.createDataFrame(rows, "token string, token_id int")
 
 
 def _encoding(mode: str) -> None:
@@ -757,9 +869,8 @@ def encode_stats(spark, d):
 def minimal_vs_bounded(spark, d):
     """Documents with fewer, equal or other tokens when chunks don't bound the search."""
     vocabulary, docs = _vocabulary(spark, d), _docs(spark, d)
-    a = E.encode(docs, vocabulary, "bounded").select("doc_id", F.col("ids").alias("a"))
-    b = E.encode(docs, vocabulary, "minimal").select("doc_id", F.col("ids").alias("b"))
-    both = a.join(b, "doc_id")
+    once = E.encode(docs, vocabulary, "bounded").withColumnRenamed("ids", "a")
+    both = E.encode(once, vocabulary, "minimal").select("a", F.col("ids").alias("b"))
     same = F.size("a") == F.size("b")
     return both.agg(F.count_if(F.size("b") < F.size("a")).alias("fewer"), F.count_if(F.col("a") == F.col("b")).alias("identical"), F.count_if(same & (F.col("a") != F.col("b"))).alias("same_count_different"), F.count_if(F.size("b") > F.size("a")).alias("more"))
 

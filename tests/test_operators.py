@@ -95,11 +95,34 @@ def test_strict_code_paths(spark):
     assert values(rows.select(D.is_code(F.col("text"), F.col("source"), strict=True).alias("c")), "c") == [False, True, False]
 
 
-def test_running_sum_over_buckets(spark, monkeypatch):
-    monkeypatch.setattr(D, "BUCKET_ROWS", 7)
-    got = D.running_sum(spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 3 + 1).alias("v")), "k", "v", "s").orderBy("k")
-    v = [3 * k + 1 for k in range(50)]
-    assert values(got, "s") == [sum(v[:k]) for k in range(50)]
+def test_running_sum(spark):
+    """Sparse, repeated and null orders, null values: every row keeps its place."""
+    rows = [(k * k * 1_000_003, 3 * k + 1) for k in range(50)] + [(16_000_048, 5), (16_000_048, None), (None, 7), (None, 9)]
+    got = D.running_sum(frame(spark, rows, "k long, v int").repartition(5), "k", "v", "s").collect()
+    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or 0))
+    want = [(*r, sum(v or 0 for _, v in ordered[:i])) for i, r in enumerate(ordered)]
+    assert sorted(map(repr, ((r["k"], r["v"], r["s"]) for r in got))) == sorted(map(repr, want))
+    assert D.running_sum(frame(spark, [], "k long, v int"), "k", "v", "s").count() == 0
+
+
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_shard_fold_is_the_same_in_blocks(block):
+    rng = np.random.default_rng(4)
+    for target in (1, 7, 100, 10_000):
+        val, tokens = rng.integers(0, 2, 300).astype(np.uint8), rng.integers(0, 60, 300).astype(np.int64)
+        fold, starts = D.ShardFold(target), [0]
+        for k in range(0, 300, block):
+            starts += fold.feed(val[k : k + block], tokens[k : k + block])
+        fill, group, want = [0, 0], 0, [0]
+        for k, (s, n) in enumerate(zip(val, tokens)):
+            if fill[s] and fill[s] + n > target:
+                fill = [0, 0]
+                want.append(k)
+            fill[s] += n
+            if fill[s] >= target:
+                fill = [0, 0]
+                want.append(k + 1)
+        assert starts == want
 
 
 def test_shard_fold(spark):
@@ -183,3 +206,55 @@ def test_extraction_priority(spark):
     got = D.extract_text(rows, ("text", "prompt", "response")).collect()
     assert [r["text"] for r in got] == ["t", "<|field:prompt|>\nq\n<|end_field|>\n<|field:response|>\na\n<|end_field|>", None]
     assert got[2]["ambiguity"] == "no configured text field; string fields=['meta']"
+
+
+def test_candidate_metrics_golden(spark):
+    """Entropy over all languages of the corpus, by hand: of two even ones among four it is a half."""
+    long = frame(spark, [("ab", "en", 4), ("ab", "de", 4), ("x", "fr", 1), ("y", "es", 1), ("abc", "en", 2)], "token string, lang string, freq long")
+    got = {r["token"]: r for r in V.candidate_metrics(long).collect()}
+    assert got["ab"]["entropy"] == pytest.approx(0.5) and got["abc"]["entropy"] == 0
+    assert (got["ab"]["bytes_saved"], got["abc"]["positions_saved"], got["x"]["bytes_saved"]) == (8, 4, 0)
+    assert {r["collision_risk"] for r in got.values()} == {0.0}
+    one = V.candidate_metrics(frame(spark, [("ab", "en", 4)], "token string, lang string, freq long")).first()
+    assert one["entropy"] == 0
+
+
+def test_fair_allocation_golden(spark):
+    """Utility by hand: weights sqrt(10 / 10) and sqrt(10 / 2.5), no halving without a collision risk."""
+    long = frame(spark, [("aaa", "en", 6), ("bb", "en", 4), ("bb", "de", 1), ("cc", "de", 1)], "token string, lang string, freq long")
+    got = {r["token"]: r["score"] for r in V.allocate(long, "e", 5).collect()}
+    fair = np.sqrt(10 / 2)
+    spread = -(0.8 * np.log2(0.8) + 0.2 * np.log2(0.2))
+    assert got == {"aaa": pytest.approx(12.0), "bb": pytest.approx((4 + fair) * (1 + 1.2 * spread), abs=1e-5), "cc": pytest.approx(fair, abs=1e-5)}
+
+
+def test_nul_heavy_counts_bytes(spark):
+    rows = [("é" * 40_000 + "\0" * 5000,), ("a" * 900 + "\0" * 10,), ("a" * 990 + "\0" * 9,), ("10 02 00 0",), (None,), ("\0" * 50,)]
+    got = D.quality_flags(frame(spark, [(*r, "s") for r in rows], "text string, source string"), pruning=False).collect()
+    assert [r["nul_heavy"] for r in got] == [False, True, False, False, False, True]
+
+
+def test_near_duplicates_settle_on_long_chains(spark):
+    """A chain in which each text shares words with the next only."""
+    words = [f"w{k}" for k in range(900)]
+    rows = [(k, " ".join(words[3 * k : 3 * k + 24]), False) for k in range(260)] + [(300, None, False), (301, None, False)]
+    got = D.near_duplicates(frame(spark, rows, "doc_id long, text string, is_code boolean")).collect()
+    assert len(got) == 261
+
+
+def test_tokens_are_inserted_in_order(spark):
+    base = frame(spark, [(b"a", 300), (b"b", 7)], "token_bytes binary, token_id int")
+    tokens = frame(spark, [(b"c", 2), (b"a", 1), (b"d", 1), (b"c", 0), (b"", 0), (None, 0)], "token_bytes binary, order int")
+    assert {bytes(r["token_bytes"]): r["token_id"] for r in V.inserted(base, tokens).collect()} == {b"a": 300, b"b": 7, b"c": 301, b"d": 302}
+    assert {bytes(r["token_bytes"]): r["token_id"] for r in V.inserted(base.limit(0), tokens, 5).collect()} == {b"c": 5, b"a": 6, b"d": 7}
+
+
+def test_chunks_are_encoded_as_lists(spark):
+    vocabulary = frame(spark, [("ab", 265), ("abc", 266), ("cd", 267)], "token string, token_id int")
+    docs = frame(spark, [(1, "abcd abcd"), (2, None), (3, "")], "doc_id long, text string")
+    for mode in E.MODES:
+        got = {r["doc_id"]: r["ids"] for r in E.encode(docs, vocabulary, mode).collect()}
+        assert got[2] == [] and got[3] == [] and len(got[1]) == 5
+    back = E.encode(docs, vocabulary).select("doc_id", E.decode(F.col("ids"), vocabulary).alias("t")).collect()
+    assert {r["doc_id"]: r["t"] for r in back} == {1: "abcd abcd", 2: "", 3: ""}
+    assert [r["t"] for r in frame(spark, [([97, None, -5, 10**6, 258],), (None,)], "ids array<int>").select(E.decode(F.col("ids"), vocabulary).alias("t")).collect()] == ["a<|eos|>", None]
