@@ -15,7 +15,7 @@ HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
 HASH_MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
-def slices(batches: Iterable[pa.RecordBatch], at: int, rows: int = 512, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], at: int, rows: int = 512, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches in parts of at most ``rows`` rows and about ``size`` bytes of column ``at``.
 
     A longer row is a part of its own. No setting of the session is touched.
