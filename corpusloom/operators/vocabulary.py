@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scripts as S
 from ..functions import text as X
+from ..session import shared_checkpoint
 from .ranking import number_rows
 
 FIRST_ID, BYTE_TOKENS, TEMPERATURE = 265, 256, 2.5
@@ -205,36 +206,27 @@ def spm_piece(piece: Column) -> Column:
     return F.when(piece.rlike("^<0x[0-9A-Fa-f]{2}>$"), F.unhex(F.substring(piece, 4, 2))).otherwise(F.encode(F.replace(piece, F.lit("▁"), F.lit(" ")), "utf-8"))
 
 
-def word_splits(words: DataFrame, pool: DataFrame, keep: int = 6) -> DataFrame:
-    """(word, first, second): splits of a word into two pool tokens, shortest first part first."""
-    cuts = words.where(F.length("word") > 1).select("word", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("cut"))
-    parts = cuts.select("word", "cut", F.left("word", F.col("cut")).alias("first"), F.substring(F.col("word"), F.col("cut") + 1, F.length("word")).alias("second"))
-    known = pool.select("token")
-    found = parts.join(known.withColumnRenamed("token", "first"), "first", "left_semi").join(known.withColumnRenamed("token", "second"), "second", "left_semi")
-    order = Window.partitionBy("word").orderBy("cut")
-    return found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= keep).select("word", "first", "second")
-
-
 def word_compositions(words: DataFrame, pool: DataFrame, keep: tuple[int, int] = (6, 4)) -> DataFrame:
     """(word, pieces): a word's first splits into two and into three pool tokens, shortest first parts first.
 
     The first piece may be in the pool bare or behind a space. A word is only cut
-    into lengths that pool tokens have, so a very long one has few cuts.
+    into lengths that pool tokens have, so a very long one has few cuts. Words, pool
+    and begun cuts are written once, so the corpus behind them is read once.
     """
-    known = pool.select("token").distinct()
+    known = shared_checkpoint(pool.select("token").distinct())
     starts = known.unionByName(known.where(F.col("token").startswith(" ")).select(F.expr("substring(token, 2)").alias("token"))).distinct()
     lengths = starts.agg(F.collect_set(F.length("token")).alias("_l"))
     found = None
-    sized = words.select("word").distinct().join(F.broadcast(lengths)).withColumn("_n", F.length("word"))  # one row beside
+    sized = shared_checkpoint(words.select("word").distinct()).join(F.broadcast(lengths)).withColumn("_n", F.length("word"))  # one row beside
     fits = lambda n: F.array_contains("_l", n)
     cuts = sized.where("_n > 1").select("*", F.explode(F.filter("_l", lambda i: (i > 0) & (i < F.col("_n")))).alias("_i"))
-    begun = cuts.select("*", F.left("word", F.col("_i")).alias("token")).join(starts, "token", "left_semi").drop("token")
+    begun = shared_checkpoint(cuts.select("*", F.left("word", F.col("_i")).alias("token")).join(starts, "token", "left_semi").drop("token"))
     two = begun.where(fits(F.col("_n") - F.col("_i"))).select("word", F.array("_i").alias("_at"), "_n")
     more = begun.select("*", F.explode(F.filter("_l", lambda k: (k > 0) & (F.col("_i") + k < F.col("_n")) & fits(F.col("_n") - F.col("_i") - k))).alias("_k"))
     three = more.select("word", F.array(F.col("_i"), F.col("_i") + F.col("_k")).alias("_at"), "_n")
     for k, (splits, most) in enumerate(zip((two, three), keep), 2):
-        bounds = F.concat(F.array(F.lit(0)), F.col("_at"), F.array("_n"))
-        pieces = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda x: F.substring(F.col("word"), F.get(bounds, x) + 1, F.get(bounds, x + 1) - F.get(bounds, x)))  # noqa: B023
+        bounds = [F.lit(0), *[F.get("_at", F.lit(x)) for x in range(k - 1)], F.col("_n")]
+        pieces = F.array(*[F.substring(F.col("word"), start + 1, end - start) for start, end in zip(bounds, bounds[1:])])
         split = splits.select("word", "_at", pieces.alias("pieces"))
         for piece in range(1, k):
             split = split.withColumn("token", F.get("pieces", F.lit(piece))).join(known, "token", "left_semi").drop("token")

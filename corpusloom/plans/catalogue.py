@@ -126,15 +126,11 @@ def doc_key(spark, d):
     return _printed(spark, d).select("doc_id", F.sha2(F.concat(F.col("source"), zero, F.col("doc_id").cast("string"), zero, F.col("content_sha256")), 256).alias("doc_key"))
 
 
-@query("SELECT doc_id, map_keys(m) AS label_names, map_values(m) AS label_values FROM (SELECT doc_id, MAP {'language': left(lang, 512), 'source': left(source, 512)} AS m FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL)")
-def label_projection(spark, d):
-    docs = _docs(spark, d).where("lang is not null and source is not null")
-    made = docs.select("doc_id", D.labels_of({"language": F.col("lang"), "source": F.col("source")}).alias("m"))
-    return made.select("doc_id", F.map_keys("m").alias("label_names"), F.map_values("m").alias("label_values"))
+_LABELS = "map_from_entries([x for x in [{'k': 'language', 'v': left(lang, 512)}, {'k': 'source', 'v': left(source, 512)}] if x.v IS NOT NULL])"
 
 
-@query()
-def label_maps(spark, d):
+@query(f"SELECT doc_id, map_keys(m) AS label_names, map_values(m) AS label_values FROM (SELECT doc_id, {_LABELS} AS m FROM documents)")
+def label_projection(spark, d):
     """The labels of every document; a null language or source is left out of its map."""
     made = _docs(spark, d).select("doc_id", D.labels_of({"language": F.col("lang"), "source": F.col("source")}).alias("m"))
     return made.select("doc_id", F.map_keys("m").alias("label_names"), F.map_values("m").alias("label_values"))
@@ -464,15 +460,11 @@ def budget_allocation(spark, d):
     return V.budgeted(V.word_counts(_docs(spark, d), ()), BUDGETS, 800).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(f"""WITH {LONG_CTE}, t AS (SELECT token, CAST(sum(freq) AS BIGINT) AS freq FROM long GROUP BY token)
-SELECT token, freq, row_number() OVER (ORDER BY freq DESC, token) - 1 + {V.FIRST_ID} AS token_id FROM t WHERE freq >= 5 AND NOT regexp_matches(token, '[{S.RANGES["cjk_strict"]}]') AND NOT regexp_matches(token, '[{S.RANGES["cyrillic"]}]')""")
+@query(f"""WITH {LONG_CTE}, base AS (SELECT {WORDS_SQL} AS w FROM documents), g AS (SELECT unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS token FROM base WHERE len(w) >= 2),
+t AS (SELECT token, CAST(sum(freq) AS BIGINT) AS freq FROM long GROUP BY token UNION ALL SELECT token, count(*) FROM g WHERE length(token) BETWEEN 4 AND 120 GROUP BY token)
+SELECT token, freq, row_number() OVER (ORDER BY freq DESC, token) - 1 + {V.FIRST_ID} AS token_id FROM t WHERE NOT (contains(trim(token), ' ') AND freq < 4)
+AND NOT regexp_matches(token, '[{S.RANGES["cjk_strict"]}]') AND NOT regexp_matches(token, '[{S.RANGES["cyrillic"]}]')""")
 def pruned_vocabulary(spark, d):
-    frequent = V.word_counts(_docs(spark, d), ()).where("freq >= 5")
-    return V.pruned(frequent, 4).withColumn("token_id", F.col("token_id").cast("long"))
-
-
-@query()
-def pruned_phrases(spark, d):
     """All words, however rare, and the two-word phrases that pruning leaves."""
     docs = _docs(spark, d)
     phrases = V.ngram_counts(docs, 2, 1).select(F.col("phrase").alias("token"), "freq")
@@ -487,20 +479,14 @@ def merged_pools(spark, d):
     return V.merge_pools(pools, 3000).withColumn("token_id", F.col("token_id").cast("long"))
 
 
-@query(f"""WITH {WORD_CTE}, d AS (SELECT DISTINCT token FROM words), w AS (SELECT token AS word FROM d WHERE length(token) BETWEEN 4 AND 12), p AS (SELECT token FROM d),
-c AS (SELECT word, unnest(range(1, length(word))) AS cut FROM w), x AS (SELECT word, cut, left(word, cut) AS first, substr(word, cut + 1) AS second FROM c),
-y AS (SELECT * FROM x WHERE first IN (SELECT token FROM p) AND second IN (SELECT token FROM p)) SELECT word, first, second FROM y QUALIFY row_number() OVER (PARTITION BY word ORDER BY cut) <= 6""")
+@query(f"""WITH {WORD_CTE}, p AS (SELECT DISTINCT token FROM words), c AS (SELECT token AS word, unnest(range(1, length(token))) AS i FROM p), b AS (SELECT word, i FROM c WHERE left(word, i) IN (SELECT token FROM p)),
+two AS (SELECT word, [left(word, i), substr(word, i + 1)] AS pieces, i FROM b WHERE substr(word, i + 1) IN (SELECT token FROM p)), d AS (SELECT word, i, unnest(range(i + 1, length(word))) AS j FROM b),
+three AS (SELECT word, [left(word, i), substr(word, i + 1, j - i), substr(word, j + 1)] AS pieces, i, j FROM d WHERE substr(word, i + 1, j - i) IN (SELECT token FROM p) AND substr(word, j + 1) IN (SELECT token FROM p))
+SELECT word, pieces FROM (SELECT word, pieces FROM two QUALIFY row_number() OVER (PARTITION BY word ORDER BY i) <= 6) UNION ALL SELECT word, pieces FROM (SELECT word, pieces FROM three QUALIFY row_number() OVER (PARTITION BY word ORDER BY i, j) <= 4)""")
 def word_splits(spark, d):
-    tokens = V.word_counts(_docs(spark, d), ()).select("token")
-    return V.word_splits(tokens.where(F.length("token").between(4, 12)).withColumnRenamed("token", "word"), tokens)
-
-
-@query()
-def word_compositions(spark, d):
-    """Splits of every word, of any length, into two and three words or mined candidates."""
-    docs = _docs(spark, d)
-    words = V.word_counts(docs, ()).select("token")
-    return V.word_compositions(words.withColumnRenamed("token", "word"), words.unionByName(V.mined_candidates(docs).select("token")))
+    """Splits of every word, of any length, into two and into three words."""
+    words = V.word_counts(_docs(spark, d), ()).select("token")
+    return V.word_compositions(words.withColumnRenamed("token", "word"), words)
 
 
 @query(f"WITH {WORD_CTE}, t AS (SELECT DISTINCT token FROM words) SELECT token, hex(encode(replace('▁' || token, '▁', ' '))) AS bytes_hex FROM t")

@@ -32,9 +32,9 @@ def test_word_compositions(spark):
 
 
 def test_queries_take_all_input(spark, folder):
-    split = {(r["word"], tuple(r["pieces"])) for r in catalogue.queries()["word_compositions"](spark, folder).collect()}
+    split = {(r["word"], tuple(r["pieces"])) for r in catalogue.queries()["word_splits"](spark, folder).collect()}
     assert ("sunflowerfield", ("sunflower", "field")) in split  # longer than 12 characters
-    kept = {r["token"]: r["freq"] for r in catalogue.queries()["pruned_phrases"](spark, folder).collect()}
+    kept = {r["token"]: r["freq"] for r in catalogue.queries()["pruned_vocabulary"](spark, folder).collect()}
     assert kept["rare"] == 1 and kept["sun flower"] == 4 and "the sun" not in kept and "слово" not in kept
-    labels = {r["doc_id"]: dict(zip(r["label_names"], r["label_values"])) for r in catalogue.queries()["label_maps"](spark, folder).collect()}
+    labels = {r["doc_id"]: dict(zip(r["label_names"], r["label_values"])) for r in catalogue.queries()["label_projection"](spark, folder).collect()}
     assert labels == {0: {"language": "en", "source": "web"}, 1: {"source": "web"}, 2: {"language": "en"}, 3: {"language": "en"}}
