@@ -131,3 +131,17 @@ def sql_case(value: str, rules, otherwise: str, wrap=lambda p: p) -> str:
     """The rules as a CASE over regexp_matches."""
     quoted = lambda p: wrap(p).replace("'", "''")
     return "CASE " + " ".join(f"WHEN regexp_matches({value}, '{quoted(p)}') THEN '{n}'" for n, p in rules) + f" ELSE '{otherwise}' END"
+
+#: Scalars whose class differs between Unicode versions, as ranges of code points.
+TABLE_RISK = (
+    (0x295, 0x295), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x1ACF, 0x1ADD), (0x1AE0, 0x1AEB), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2),
+    (0xA7D4, 0xA7D4), (0xA7F1, 0xA7F1), (0xFBC3, 0xFBD2), (0xFD90, 0xFD91), (0xFDC8, 0xFDCE), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED0, 0x10ED8),
+    (0x10EFA, 0x10EFB), (0x11B60, 0x11B67), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF),
+    (0x18D09, 0x18D1E), (0x18D80, 0x18DF2), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6F5), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479),
+)
+TABLE_RISK_CLASS = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in TABLE_RISK) + "]"
+
+
+def table_risk(text: Column) -> Column:
+    """Whether a text has a scalar that encoders with other Unicode tables may cut differently; false for null."""
+    return F.coalesce(text.rlike(TABLE_RISK_CLASS), F.lit(False))

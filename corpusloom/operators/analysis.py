@@ -163,3 +163,45 @@ def sweep_winners(candidates: DataFrame) -> DataFrame:
     both = candidates.agg(best(compression).alias("compression"), best(whole).alias("end_to_end"))
     rows = F.explode(F.array(*[F.struct(F.lit(n).alias("ranking"), F.col(n).alias("b")) for n in ("compression", "end_to_end")]))
     return both.select(rows.alias("r")).select("r.ranking", "r.b.winner", F.round("r.b.score", 6).alias("score"))
+
+
+def audit_matrix(rows: DataFrame) -> DataFrame:
+    """(area, model, tokens, bytes_per_token, tokens_per_line) of rows (sample, area, model, tokens, bytes, lines)."""
+    sums = rows.groupBy("area", "model").agg(F.sum("tokens").alias("tokens"), F.sum("bytes").alias("_b"), F.sum("lines").alias("_l"))
+    return sums.select("area", "model", "tokens", F.try_divide("_b", "tokens").alias("bytes_per_token"), F.try_divide("tokens", "_l").alias("tokens_per_line"))
+
+
+def regressions(rows: DataFrame, model: str, rivals: tuple[str, ...], slack: float = 1.10) -> DataFrame:
+    """Samples on which ``model`` takes over ``slack`` times the tokens of its best rival.
+
+    ``rows`` are (sample, model, tokens). Of equal rivals the first named is the
+    best. Samples without the model or without rivals are left out.
+    """
+    place = F.lit(len(rivals))
+    for k, name in reversed(list(enumerate(rivals))):
+        place = F.when(F.col("model") == name, k).otherwise(place)
+    best = F.min(F.when(F.col("model").isin(*rivals), F.struct("tokens", place.alias("place"), "model")))
+    both = rows.groupBy("sample").agg(F.max(F.when(F.col("model") == model, F.col("tokens"))).alias("tokens"), best.alias("b"))
+    worse = both.where(F.col("tokens") > F.col("b.tokens") * slack)
+    percent = F.try_divide((F.col("tokens") - F.col("b.tokens")) * 100.0, F.col("b.tokens"))
+    return worse.select("sample", "tokens", F.col("b.tokens").alias("best_tokens"), F.col("b.model").alias("best_model"), percent.alias("regression_percent"))
+
+
+def coverage(words: DataFrame) -> DataFrame:
+    """Coverage by language of words (lang, freq, pieces), ``pieces`` being the texts of a word's tokens.
+
+    A word of one token is whole, others are fragmented; a root is kept if any
+    piece has three characters or more besides white space. Languages without
+    fragmented words have one fragment on average.
+    """
+    n, f = F.size("pieces"), F.col("freq")
+    rooted = F.exists("pieces", lambda p: F.length(F.trim(p)) >= 3)
+    total = F.sum(f)
+    parts, broken = F.sum(F.when(n > 1, n * f)), F.sum(F.when(n > 1, f))
+    return words.groupBy("lang").agg(
+        total.alias("words"),
+        (F.sum(F.when(n == 1, f).otherwise(0)) * 100.0 / total).alias("whole_word_percent"),
+        (F.sum(F.when(n != 1, f).otherwise(0)) * 100.0 / total).alias("fragmented_percent"),
+        F.coalesce(parts / broken, F.lit(1.0)).alias("fragments_per_broken_word"),
+        (F.sum(F.when(rooted, f).otherwise(0)) * 100.0 / total).alias("root_kept_percent"),
+    )

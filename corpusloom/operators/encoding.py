@@ -160,6 +160,19 @@ def decode(ids: Column, vocabulary: DataFrame) -> Column:
     return F.arrow_udf(run, "string")(ids)
 
 
+def pieces(ids: Column, vocabulary: DataFrame) -> Column:
+    """The text of each token of a list alone; null for null. Cut-off characters give U+FFFD."""
+    shared = broadcast_vocabulary(vocabulary)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = Encoder(shared.value)
+        names = {i: s for s, i in SPECIAL.items()} | {i: t.decode("utf-8", "replace") for i, t in encoder.bytes.items()}
+        for batch in batches:
+            yield pa.array([None if row is None else [names.get(i, "") for i in row] for row in batch.to_pylist()], pa.list_(pa.string()))
+
+    return F.arrow_udf(run, "array<string>")(ids)
+
+
 def pack21(ids: np.ndarray) -> bytes:
     """21 bits an id, least bit first, filled up to eight ids."""
     ids = np.asarray(ids, dtype=np.int64)

@@ -18,6 +18,7 @@ from ..operators import analysis as A
 from ..operators import documents as D
 from ..operators import encoding as E
 from ..operators import morphology as M
+from ..operators import recovery as R
 from ..operators import vocabulary as V
 from ..operators.ranking import number_rows
 from ..session import table
@@ -301,6 +302,11 @@ def script_range_counts(spark, d):
     return tokens.agg(*[F.count_if(S.has_any(F.col("token"), k)).alias(k) for k in S.RANGES])
 
 
+@query(f"SELECT doc_id, coalesce(regexp_matches(text, '{S.TABLE_RISK_CLASS}'), false) AS risky FROM documents")
+def table_risk(spark, d):
+    return _docs(spark, d).select("doc_id", S.table_risk(F.col("text")).alias("risky"))
+
+
 # ---- language statistics and fairness --------------------------------------------------------
 
 LANG_SQL = f"SELECT lang, count(*) AS documents, CAST(sum({BYTES_SQL}) AS BIGINT) AS bytes, CAST(sum(len({WORDS_SQL})) AS BIGINT) AS words, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang"
@@ -524,6 +530,29 @@ def shard_packing(spark, d):
     return D.pack_shards(_sized(spark, d), SHARD_TOKENS)
 
 
+@query(f"WITH {TOKENS_CTE} SELECT split, CAST(max(shard_id) + 1 AS BIGINT) AS next_shard FROM sharded GROUP BY split")
+def next_shards(spark, d):
+    """Where a build that has written the shards of all documents goes on."""
+    return R.next_shards(D.bucket_shards(_sized(spark, d), SHARD_TOKENS), _split(spark, d).select("split"))
+
+
+@query(f"""WITH h AS (SELECT source, doc_id, {BYTES_SQL} AS b, {SHA_SQL} AS h FROM documents), f AS (SELECT min(doc_id) AS doc_id FROM h GROUP BY h),
+a AS (SELECT source, count(*) AS documents, CAST(sum(b) AS BIGINT) AS bytes FROM h GROUP BY source), b AS (SELECT source, count(*) AS documents, CAST(sum(b) AS BIGINT) AS bytes FROM h WHERE doc_id IN (SELECT doc_id FROM f) GROUP BY source),
+j AS (SELECT a.source AS source, b.source IS NULL AS gone, a.documents <> b.documents AS d, a.bytes <> b.bytes AS y FROM a LEFT JOIN b ON a.source IS NOT DISTINCT FROM b.source)
+SELECT source, 'missing' AS problem FROM j WHERE gone UNION ALL SELECT source, 'documents' FROM j WHERE NOT gone AND d UNION ALL SELECT source, 'bytes' FROM j WHERE NOT gone AND y""")
+def record_mismatches(spark, d):
+    """Sources whose figures over all documents differ from those without exact copies."""
+    totals = lambda rows: rows.groupBy("source").agg(F.count("*").alias("documents"), F.sum("raw_bytes").alias("bytes"))
+    printed, firsts = _printed(spark, d), D.first_occurrences(_docs(spark, d)).select("doc_id")
+    return R.mismatches(totals(printed), totals(printed.join(firsts, "doc_id", "left_semi")), ("source",))
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) = 1")
+def latest_turns(spark, d):
+    """The last turn of each conversation: of records with one key the last stays."""
+    return R.latest(table(spark, d, "conversations").select("conv_id", "turn", "role", "text"), ("conv_id",), ("turn", "role", "text"))
+
+
 @query(f"""WITH {TOKENS_CTE} SELECT split, shard_id, token_offset AS valid_from, token_offset + n_tokens - 1 AS valid_to, doc_id FROM sharded WHERE n_tokens > 64""")
 def window_spans(spark, d):
     rows = D.bucket_shards(_sized(spark, d), SHARD_TOKENS).where("n_tokens > 64")
@@ -861,6 +890,42 @@ def minimal_vs_bounded(spark, d):
     return both.agg(F.count_if(F.size("b") < F.size("a")).alias("fewer"), F.count_if(F.col("a") == F.col("b")).alias("identical"), F.count_if(same & (F.col("a") != F.col("b"))).alias("same_count_different"), F.count_if(F.size("b") > F.size("a")).alias("more"))
 
 
+def _model_counts(spark, d, models: tuple[str, ...]) -> DataFrame:
+    """(sample, area, model, tokens, bytes, lines) of all documents under several encoders, encoded in one pass."""
+    vocabulary, rows = _vocabulary(spark, d), _docs(spark, d)
+    for m in models:
+        rows = E.encode(rows, vocabulary, m).withColumn(m, F.size("ids")).drop("ids")
+    mixed = sum((S.has_any(F.col("text"), k).cast("int") for k in ("cyrillic", "cjk_strict")), F.col("text").rlike("[A-Za-z]").cast("int")) > 1
+    area = F.when(mixed, "mixed scripts").otherwise(F.coalesce("lang", F.lit("unknown")))
+    lines = F.size(F.split("text", "\n"))
+    per_model = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("tokens")) for m in models])).alias("m")
+    return rows.select(F.col("doc_id").alias("sample"), area.alias("area"), X.utf8_bytes("text").alias("bytes"), lines.alias("lines"), per_model).select("sample", "area", "bytes", "lines", "m.*")
+
+
+@query()
+def encoder_audit(spark, d):
+    """Tokens, bytes a token and tokens a line of each encoder by language, and over texts of mixed scripts."""
+    return A.audit_matrix(_model_counts(spark, d, ("bounded", "greedy", "minimal")))
+
+
+@query()
+def encoder_regressions(spark, d):
+    """By the better of two encoders: documents, those on which the greedy one takes over a tenth more tokens, and the worst excess."""
+    counts = _model_counts(spark, d, ("bounded", "greedy", "minimal"))
+    compared = A.regressions(counts, "greedy", ("bounded", "minimal"), 0.0)
+    worse = F.count_if(F.col("tokens") > F.col("best_tokens") * 1.10)
+    return compared.groupBy("best_model").agg(F.count("*").alias("samples"), worse.alias("regressed"), F.round(F.max("regression_percent"), 6).alias("worst_percent"))
+
+
+@query()
+def coverage_by_language(spark, d):
+    """Whole and fragmented words by language: each distinct word is encoded once, behind a space."""
+    vocabulary = _vocabulary(spark, d)
+    words = _long(spark, d).select("lang", "freq", F.concat(F.lit(" "), "token").alias("text"))
+    coded = E.encode(words, vocabulary, "bounded")
+    return A.coverage(coded.select("lang", "freq", E.pieces(F.col("ids"), vocabulary).alias("pieces")))
+
+
 @query()
 def pack21(spark, d):
     coded = E.encode(_docs(spark, d), _vocabulary(spark, d)).select("doc_id", "ids", E.packed21("ids").alias("packed"))
