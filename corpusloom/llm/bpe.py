@@ -288,13 +288,15 @@ class Transducer:
     """Chunks of texts in, stable ids out; what it holds doesn't grow with the texts.
 
     A space that no white space follows starts a pre-token, whatever comes before
-    it, so texts fall into units there, and each distinct unit is merged once.
+    it, so texts fall into units there. Of the texts that come together each distinct
+    unit is taken apart once; pre-tokens are merged once as long as the memo keeps
+    them, which has two generations of ``limit`` each.
     """
 
     def __init__(self, merges: Merges, limit: int = 400_000):
         self.merges, self.limit = merges, limit
-        self.units: dict[str, bytes] = {}
         self.pretokens: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         names = sorted(merges.special, key=len, reverse=True)
         self.names = re.compile("|".join(map(re.escape, names))) if names else None
         self.halves = sorted({n[:k] for n in names for k in range(1, len(n))}, key=len, reverse=True)
@@ -379,32 +381,36 @@ class Transducer:
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids (little-endian 32-bit) of closed pre-tokens; new ones are merged together."""
-        new = list(set(pieces).difference(self.pretokens))
+        distinct = set(pieces)
+        new = distinct.difference(self.pretokens)
+        again = new.intersection(self.older)
+        self.pretokens.update((p, self.older.pop(p)) for p in again)
+        new = list(new - again)
         self.pretokens.update(zip(new, self.merges.merge_many([p.encode("utf-8", "surrogatepass") for p in new])))
         found = list(map(self.pretokens.__getitem__, pieces))
         for p in new:
             if len(p) > MEMO_CHARS:
                 del self.pretokens[p]
-        if len(self.pretokens) > self.limit:
-            self.pretokens.clear()
+        if len(self.pretokens) > self.limit:  # what the next ones don't use is given up
+            self.older, self.pretokens = self.pretokens, {}
         return found
 
-    def _units(self, units: list[str]) -> list[bytes]:
-        """Ids of these units; those that are new are merged together."""
-        found = list(map(self.units.get, units))
-        new = list({u for u, ids in zip(units, found) if ids is None})
-        if new:
-            parts = [patterns_for(u).findall(u) for u in new]
-            ids = iter(self._pieces([p for part in parts for p in part]))
-            made = {u: b"".join([next(ids) for _ in part]) for u, part in zip(new, parts)}
-            found = [made[u] if ids is None else ids for u, ids in zip(units, found)]
-            self.units.update((u, ids) for u, ids in made.items() if len(u) <= MEMO_CHARS)
-        if len(self.units) > self.limit:
-            self.units.clear()
-        return found
+    def _units(self, units: pa.Array) -> tuple[list[bytes], np.ndarray]:
+        """Ids of the pre-tokens of all units, and how many of them belong to each unit.
+
+        Every unit has lost its space, and no white space starts it, so joined by
+        spaces they are one text with the same pre-tokens.
+        """
+        if not len(units):
+            return [], np.zeros(0, dtype=np.int64)
+        text = " " + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(units)], pa.int32()), units.cast(pa.string())), " ")[0].as_py()
+        pieces = patterns_for(text).findall(text)
+        ends = np.cumsum(np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)))
+        upto = np.searchsorted(ends, np.cumsum(pc.utf8_length(units).to_numpy(zero_copy_only=False).astype(np.int64) + 1)) + 1
+        return self._pieces(pieces), np.diff(upto, prepend=0)
 
     def _texts(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of closed texts. Units are told apart by Arrow, so each distinct one is looked up once."""
+        """Ids of closed texts. Units are told apart by Arrow, so each distinct one is taken apart once."""
         if not texts:
             return []
         heads = [t.partition(" ") for t in texts]
@@ -412,40 +418,41 @@ class Transducer:
         codes = pc.dictionary_encode(pc.list_flatten(lists))
         sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes)
-        kinds = codes.dictionary.to_numpy(zero_copy_only=False).tolist()
-        at = codes.indices.to_numpy(zero_copy_only=False)
-        known = self._units([" " + u for u in kinds])
-        firsts = self._units([h[0] for h in heads])
-        counts = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+        kinds, at = codes.dictionary, codes.indices.to_numpy(zero_copy_only=False)
+        leads = pc.dictionary_encode(pc.utf8_slice_codeunits(kinds, 0, 1))
+        white = np.array([not c or c.isspace() for c in leads.dictionary.to_pylist()], dtype=bool)
+        bad = white[leads.indices.to_numpy(zero_copy_only=False)]
+        groups = [np.flatnonzero(~bad)]  # the slower pattern takes only the units that need it
+        if not all(t.isascii() for t in texts):
+            rare = pc.match_substring_regex(kinds, f"[^\\x{{0}}-\\x{{{SMALL_TOP - 1:x}}}]").to_numpy(zero_copy_only=False)
+            groups = [np.flatnonzero(~bad & ~rare), np.flatnonzero(~bad & rare)]
+        known, owners = [], []
+        for some in groups:
+            ids, pieces = self._units(kinds.take(pa.array(some)))
+            known += ids
+            owners.append(np.repeat(some, pieces))
+        lengths = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+        counts = np.bincount(np.concatenate(owners), weights=lengths, minlength=len(kinds)).astype(np.int64)
+        order = np.concatenate(groups)  # units as their ids lie in flat
+        opens = np.zeros(len(kinds), dtype=np.int64)
+        opens[order] = np.cumsum(counts[order]) - counts[order]
         flat = np.frombuffer(b"".join(known), dtype="<u4")
-        opens = np.cumsum(counts) - counts
         each = counts[at]
         upto = np.concatenate([[0], np.cumsum(each)])
         body = flat[np.repeat(opens[at] - upto[:-1], each) + np.arange(upto[-1])]
         cuts = upto[np.concatenate([[0], ends])]
-        bad = np.array([not u or u[0].isspace() for u in kinds], dtype=bool)
-        clumsy = set()
-        if bad.any():  # white space after a space: cut only where it's safe
-            clumsy = set(np.searchsorted(ends, np.flatnonzero(bad[at]), side="right").tolist())
+        # White space after a space: such texts are taken apart whole.
+        clumsy = set(np.searchsorted(ends, np.flatnonzero(bad[at]), side="right").tolist()) if bad.any() else set()
+        alone = [t if k in clumsy else head for k, (t, (head, _, _)) in enumerate(zip(texts, heads))]
+        parts = [patterns_for(t).findall(t) for t in alone]
+        ids = iter(self._pieces([p for part in parts for p in part]))
         out = []
-        for k, first in enumerate(firsts):
-            if k in clumsy:
-                out.append(np.frombuffer(b"".join(self._units(units_of(texts[k]))), dtype="<u4"))
-            else:
-                out.append(np.concatenate([np.frombuffer(first, dtype="<u4"), body[cuts[k] : cuts[k + 1]]]))
+        for k, part in enumerate(parts):
+            first = np.frombuffer(b"".join([next(ids) for _ in part]), dtype="<u4")
+            out.append(first if k in clumsy else np.concatenate([first, body[cuts[k] : cuts[k + 1]]]))
         return out
 
 
-#: A space starts a pre-token of its own unless white space or the end follows.
-SAFE_CUT = re.compile(r" (?=\S)")
-
-
-def units_of(text: str) -> list[str]:
-    """The units of a text; joined they give the text."""
-    cuts = [m.start() for m in SAFE_CUT.finditer(text)]
-    return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)]) if b > a]
-
-
 def _safe_cut(text: str) -> int:
     """Where the last unit of a text starts."""
     k = text.rfind(" ", 0, max(0, len(text) - 1))

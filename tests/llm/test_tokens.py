@@ -76,6 +76,16 @@ def test_many_streams_at_once(library):
     assert out == [ids_of(library, t) for t in texts]
 
 
+def test_a_full_memo_gives_way_without_changing_ids(library):
+    rng = random.Random(5)
+    machine = bpe.Transducer(bpe.Merges.load(PATH), limit=40)
+    for _ in range(12):
+        texts = ["".join(rng.choices(PARTS[4:], k=rng.randrange(30))) for _ in range(40)]
+        found = machine.feed([bpe.Stream() for _ in texts], texts, [True] * len(texts))
+        assert [f.tolist() for f in found] == [ids_of(library, t) for t in texts]
+    assert machine.older
+
+
 def test_memory_is_constant_on_a_long_text():
     """50 MB in one row: what is held beside the text is a small part of it and doesn't grow with it."""
     merges, _, table = bpe.loaded(PATH)
